@@ -1,0 +1 @@
+"""Left empty on purpose: the system covered here is batch only (ingest, forecast, score, report)."""
