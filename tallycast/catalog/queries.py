@@ -193,7 +193,7 @@ def engineer_features_recent(ws):
 @query
 def engineer_features_coldstart(ws):
     """The chain with a cold-start holdout: its history is cut before the first feature is computed."""
-    cold = coldstart.coldstart_sample(ws.panel("coarse"), 0.2)
+    cold = ws.cold("coarse", 0.2)
     cutoff = coldstart.coldstart_cutoff_day(ws.days()["train"])
     return features.engineer_features(ws.trainval("coarse"), cold_ids=cold, cutoff_day=cutoff).select(*ENGINEERED)
 
@@ -224,7 +224,7 @@ def coldstart_sample(ws):
 
 @query
 def coldstart_truncate(ws):
-    cold = coldstart.coldstart_sample(ws.panel("coarse"), 0.2)
+    cold = ws.cold("coarse", 0.2)
     cutoff = coldstart.coldstart_cutoff_day(ws.days()["train"])
     return coldstart.truncate_coldstart_history(ws.panel("coarse"), cold, cutoff).select("id", "d_num", "sales")
 
@@ -357,7 +357,7 @@ def score_later_origin(ws):
 def cold_setup(ws):
     """Cold-start holdout of the fine panel at the end of train."""
     origin = ws.days()["train"]
-    cold = coldstart.coldstart_sample(ws.panel("fine").where("split = 'train'"))
+    cold = ws.cold("fine", 0.05)
     return cold, coldstart.coldstart_cutoff_day(origin), origin
 
 
@@ -578,7 +578,7 @@ def submission_table(ws):
 
 def full_report(ws, grain, frac):
     origin = ws.days()["val"]
-    cold = coldstart.coldstart_sample(ws.panel(grain).where("split = 'train'"), frac)
+    cold = ws.cold(grain, frac)
     naive = forecasters.seasonal_naive(ws.trainval(grain), [origin])
     return reports.series_report(ws.panel(grain), naive, segments(ws, grain), cold, origin)
 

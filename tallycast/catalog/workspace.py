@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tallycast.functions.names import HORIZON
+from tallycast.operators.coldstart import coldstart_sample
 from tallycast.operators.global_forecast import GlobalModel, fit_global, load_global, save_global
 from tallycast.operators.features import engineer_features
 from tallycast.operators.ingest import build_panel
@@ -69,7 +70,7 @@ class Workspace:
 
     def days(self) -> dict[str, int]:
         """Last day of train, val and test."""
-        end = last_day(self.daily("coarse"))
+        end = int(self._once("last_day", lambda _: str(last_day(self.daily("coarse")))))
         return {"train": end - 2 * HORIZON, "val": end - HORIZON, "test": end}
 
     def with_future(self, grain: str) -> DataFrame:
@@ -78,9 +79,24 @@ class Workspace:
         ahead = future_rows(self.panel(grain), self.calendar(), self.prices(grain), end + 1, end + HORIZON)
         return self.panel(grain).drop("split").unionByName(ahead)
 
+    def _sample(self, name: str, draw) -> DataFrame:
+        """A sample of series is drawn once; every step that uses it sees the same written set."""
+
+        def write(path):
+            draw().write.parquet(path)
+            return path
+
+        return self.spark.read.parquet(self._once(name, write))
+
     def population(self) -> DataFrame:
         """The series the global model covers: up to 2000, stratified by category."""
-        return stratified_sample(self.panel("fine").where("split = 'train'"), 2000, 43).select("id")
+        train = self.panel("fine").where("split = 'train'")
+        return self._sample("population", lambda: stratified_sample(train, 2000, 43))
+
+    def cold(self, grain: str, frac: float) -> DataFrame:
+        """The cold-start holdout."""
+        train = self.panel(grain).where("split = 'train'")
+        return self._sample(f"cold_{grain}_{frac}", lambda: coldstart_sample(train, frac))
 
     def global_model(self) -> GlobalModel:
         """The global model at the end of train: fitted once, then loaded wherever it is needed."""

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallycast.session import use_checkpoints
+
 
 def stratified_sample(ids_cats: DataFrame, n: int | Column, seed: int = 42, stratum: str = "cat_id") -> DataFrame:
     """About ``n`` series, each stratum in proportion to its size, in an order fixed by md5(id + seed).
 
     The rank inside a stratum is exact, but no task ever sorts a whole stratum: the first three hex
     digits of the hash split it into 4096 slices in rank order, slice sizes give each slice its offset,
-    and rows are ranked within their slice only.
+    and rows are ranked within their slice only. The series list is checkpointed because counting,
+    slicing and ranking each read it; the panel behind it is read once.
     """
+    use_checkpoints(ids_cats.sparkSession)
     size = F.lit(n) if isinstance(n, int) else n
     series = (
         ids_cats.select("id", stratum)
         .distinct()
         .withColumn("pick", F.md5(F.concat("id", F.lit(str(seed))).cast("binary")))
         .withColumn("slice", F.substring("pick", 1, 3))
+        .checkpoint()
     )
     slices = series.groupBy(stratum, "slice").agg(F.count(F.lit(1)).alias("in_slice"))
     total = series.agg(F.count(F.lit(1))).scalar()

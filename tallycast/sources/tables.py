@@ -45,20 +45,33 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
-def scan_sales_wide(spark: SparkSession, path: str) -> DataFrame:
-    """The wide sales CSV. Only the header line is read up front: day columns become int, the rest string."""
+def _scan_csv(spark: SparkSession, path: str, type_of) -> DataFrame:
+    """Read a CSV in the column order of its own header, each column with the type its name calls for.
+
+    Only the header line is read up front; nothing is inferred from the data.
+    """
     header = spark.read.text(require(spark, path)).first()[0].split(",")
-    fields = [T.StructField(c, T.StringType() if c in ID_COLUMNS else T.IntegerType()) for c in header]
+    schema = T.StructType([T.StructField(c, type_of(c)) for c in header])
     # The CSV parser stops at 20480 columns by default; a table with more days still has to load.
-    return spark.read.schema(T.StructType(fields)).option("maxColumns", max(20480, 2 * len(header))).csv(path, header=True)
+    return spark.read.schema(schema).option("maxColumns", max(20480, 2 * len(header))).csv(path, header=True)
+
+
+def _types_in(schema: T.StructType):
+    types = {f.name: f.dataType for f in schema}
+    return lambda name: types.get(name, T.StringType())
+
+
+def scan_sales_wide(spark: SparkSession, path: str) -> DataFrame:
+    """The wide sales CSV: day columns are int, the rest string."""
+    return _scan_csv(spark, path, lambda c: T.IntegerType() if c.startswith("d_") else T.StringType())
 
 
 def scan_calendar(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CALENDAR_SCHEMA).csv(require(spark, path), header=True)
+    return _scan_csv(spark, path, _types_in(CALENDAR_SCHEMA))
 
 
 def scan_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRICE_SCHEMA).csv(require(spark, path), header=True)
+    return _scan_csv(spark, path, _types_in(PRICE_SCHEMA))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
@@ -69,7 +82,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
 
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).csv(require(spark, path), header=True)
+    return _scan_csv(spark, path, _types_in(schema)).select(*schema.names)
 
 
 def write_splits(panel: DataFrame, path: str) -> str:
