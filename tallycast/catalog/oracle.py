@@ -206,6 +206,7 @@ NAIVE_SCORES = [ORIGINS, history("trainval"), NAIVE, scores(NAIVE_ONLY, "trainva
 # --- sources and ingest -------------------------------------------------------------------------------
 
 sql("daily_demand", "fine", [], "SELECT * FROM daily")
+sql("daily_demand_coarse", "coarse", [], "SELECT * FROM daily")
 sql("calendar_dim", "coarse", [], "SELECT * FROM calendar")
 sql("sell_prices", "fine", [], f"SELECT store_id, item_id, wm_yr_wk, {rounded('sell_price')} FROM prices")
 sql("scan_csv", "coarse", [], f"SELECT id, d_num, date, sales, {rounded('sell_price')}, event_name_1, split FROM panel")

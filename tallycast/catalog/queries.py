@@ -48,7 +48,12 @@ def origins_of(ws: Workspace) -> list[int]:
 
 @query
 def daily_demand(ws):
-    return demand.daily_demand(ws.spark, ws.sf_dir, "fine")
+    return demand.daily_demand(ws.spark, ws.sf_dir).drop("r_name")
+
+
+@query
+def daily_demand_coarse(ws):
+    return demand.coarse_demand(demand.daily_demand(ws.spark, ws.sf_dir)).drop("r_name")
 
 
 @query
@@ -107,7 +112,8 @@ def pre_release_stats(ws):
 
 @query
 def assign_split(ws):
-    return ws.build("coarse").select("id", "d_num", "split")
+    joined = ingest.join_prices(ingest.join_calendar(ws.long("coarse"), ws.calendar()), ws.prices("coarse"))
+    return ingest.assign_split(ingest.drop_pre_release(joined)).select("id", "d_num", "split")
 
 
 @query
@@ -200,7 +206,7 @@ def engineer_features_coldstart(ws):
 
 @query
 def restrict_series(ws):
-    chosen = stratified_sample(ws.panel("coarse"), 12, 42)
+    chosen = ws.covered()
     return features.restrict_series(ws.panel("coarse"), chosen).select("id", "d_num", "sales")
 
 
@@ -339,18 +345,15 @@ def holt_winters(ws):
 @query
 def global_forecast(ws):
     """The global model at the end of train, for every series of its population."""
-    engineered = features.engineer_features(ws.trainval("fine"), ids=ws.population())
-    return forecast_global(ws.global_model(), engineered, ws.days()["train"])
+    return forecast_global(ws.global_model(), ws.engineered(), ws.days()["train"])
 
 
 @query
 def score_later_origin(ws):
     """The same fitted model on two later blocks: the test days and the days after all data."""
-    days = ws.days()
-    engineered = features.engineer_features(ws.with_future("fine"), ids=ws.population())
-    model = ws.global_model()
-    return forecast_global(model, engineered, days["val"]).unionByName(
-        forecast_global(model, engineered, days["test"])
+    days, model = ws.days(), ws.global_model()
+    return forecast_global(model, ws.engineered(), days["val"]).unionByName(
+        forecast_global(model, ws.engineered(), days["test"])
     )
 
 
@@ -550,7 +553,7 @@ def block_origins(ws):
 
 
 def sampled_trend(ws, origins):
-    chosen = stratified_sample(ws.panel("coarse"), 12, 42)
+    chosen = ws.covered()
     return features.restrict_series(forecasters.trend_weekly(ws.panel("coarse"), origins), chosen)
 
 
@@ -566,7 +569,7 @@ def blend_forecasts(ws):
 def forecast_wide(ws):
     origin = ws.days()["val"]
     naive = forecasters.seasonal_naive(ws.trainval("coarse"), [origin])
-    return reshape.forecast_wide(naive.withColumn("id", F.concat("id", F.lit("_evaluation"))), origin + 1, "validation")
+    return reshape.forecast_wide(naive.withColumn("id", F.concat("id", F.lit("_evaluation"))), {origin: "validation"})
 
 
 @query

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.functions.names import HORIZON
 from tallycast.operators.coldstart import coldstart_sample
@@ -38,7 +38,10 @@ class Workspace:
 
     def daily(self, grain: str) -> DataFrame:
         def write(path):
-            demand.daily_demand(self.spark, self.sf_dir, grain).write.parquet(path)
+            if grain == "fine":
+                demand.daily_demand(self.spark, self.sf_dir).write.parquet(path)
+            else:
+                demand.coarse_demand(self.daily("fine")).write.parquet(path)
             return path
 
         return self.spark.read.parquet(self._once(f"daily_{grain}", write))
@@ -53,7 +56,8 @@ class Workspace:
         return demand.demand_panel(self.daily(grain))
 
     def build(self, grain: str) -> DataFrame:
-        return build_panel(self.long(grain), demand.calendar_dim(self.daily(grain)), self.prices(grain))
+        """The processed panel as a plan. A day with a sale has a price, so daily demand knows the last day."""
+        return build_panel(self.long(grain), self.calendar(), self.prices(grain), self.days()["test"])
 
     def panel(self, grain: str) -> DataFrame:
         """The processed panel, bucketed by series and partitioned by split."""
@@ -77,7 +81,21 @@ class Workspace:
         """The panel followed by the covariate rows of the days after it."""
         end = self.days()["test"]
         ahead = future_rows(self.panel(grain), self.calendar(), self.prices(grain), end + 1, end + HORIZON)
-        return self.panel(grain).drop("split").unionByName(ahead)
+        return self.panel(grain).unionByName(ahead.withColumn("split", F.lit("future")))
+
+    def engineered(self) -> DataFrame:
+        """Features of the global model's population, from the first day to the end of the known covariates.
+
+        Features only look back, so the rows up to any origin are the same as if later rows did not exist.
+        """
+
+        def write(path):
+            rows = engineer_features(self.with_future("fine"), ids=self.population())
+            table = path.rsplit("/", 1)[-1].replace("-", "_")
+            write_panel_table(rows, table, path, default_buckets(self.spark))
+            return table
+
+        return self.spark.table(self._once("engineered", write))
 
     def _sample(self, name: str, draw) -> DataFrame:
         """A sample of series is drawn once; every step that uses it sees the same written set."""
@@ -93,6 +111,10 @@ class Workspace:
         train = self.panel("fine").where("split = 'train'")
         return self._sample("population", lambda: stratified_sample(train, 2000, 43))
 
+    def covered(self) -> DataFrame:
+        """The series a second model covers in the blended submission: a stratified dozen."""
+        return self._sample("covered", lambda: stratified_sample(self.panel("coarse"), 12, 42))
+
     def cold(self, grain: str, frac: float) -> DataFrame:
         """The cold-start holdout."""
         train = self.panel(grain).where("split = 'train'")
@@ -102,9 +124,7 @@ class Workspace:
         """The global model at the end of train: fitted once, then loaded wherever it is needed."""
 
         def write(path):
-            origin = self.days()["train"]
-            engineered = engineer_features(self.trainval("fine"), ids=self.population())
-            save_global(fit_global(engineered, origin), path)
+            save_global(fit_global(self.engineered(), self.days()["train"]), path)
             return path
 
         return load_global(self.spark, self._once("global_model", write))

@@ -51,17 +51,24 @@ def pre_release_stats(panel: DataFrame) -> DataFrame:
     )
 
 
-def assign_split(panel: DataFrame, test_days: int = HORIZON, val_days: int = HORIZON) -> DataFrame:
-    """Label the last days ``test``, those before ``val`` and the rest ``train``, from the data's own last day."""
-    last_day = panel.agg(F.max("d_num")).scalar()
-    age = last_day - F.col("d_num")
+def assign_split(
+    panel: DataFrame, test_days: int = HORIZON, val_days: int = HORIZON, last_day: int | None = None
+) -> DataFrame:
+    """Label the last days ``test``, those before ``val`` and the rest ``train``, from the data's own last day.
+
+    Finding that day runs the plan of ``panel`` once more; pass ``last_day`` where it is known already.
+    """
+    end = panel.agg(F.max("d_num")).scalar() if last_day is None else F.lit(last_day)
+    age = end - F.col("d_num")
     return panel.withColumn(
         "split",
         F.when(age < test_days, "test").when(age < test_days + val_days, "val").otherwise("train"),
     )
 
 
-def build_panel(long: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
+def build_panel(
+    long: DataFrame, calendar: DataFrame, prices: DataFrame, last_day: int | None = None
+) -> DataFrame:
     """The whole ingest as one lazy plan."""
-    return assign_split(drop_pre_release(join_prices(join_calendar(long, calendar), prices)))
+    return assign_split(drop_pre_release(join_prices(join_calendar(long, calendar), prices)), last_day=last_day)
 

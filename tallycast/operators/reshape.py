@@ -7,18 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from tallycast.functions.names import EVENT_COLUMNS, HORIZON, ID_COLUMNS
 
 
-def forecast_wide(forecast: DataFrame, first_day: int, suffix: str, horizon: int = HORIZON) -> DataFrame:
-    """One row per series with the median of each day as F1, F2, ...; the id ends on the period's suffix."""
-    steps = [f"F{i}" for i in range(1, horizon + 1)]
-    return (
-        forecast.select(
-            F.regexp_replace("id", "_evaluation$", f"_{suffix}").alias("id"),
-            F.concat(F.lit("F"), (F.col("d_num") - first_day + 1).cast("string")).alias("step"),
-            "q50",
-        )
-        .groupBy("id")
-        .pivot("step", steps)
-        .agg(F.first("q50"))
+def forecast_wide(forecast: DataFrame, blocks: dict[int, str], horizon: int = HORIZON) -> DataFrame:
+    """One row per series and block with the median of each day as F1, F2, ...
+
+    ``blocks`` names the forecast origins to show and the suffix each puts in place of ``_evaluation`` at
+    the end of the id. All blocks share one aggregation.
+    """
+    suffix = F.lit(None).cast("string")
+    for origin, name in blocks.items():
+        suffix = F.when(F.col("origin") == origin, F.lit(f"_{name}")).otherwise(suffix)
+    shown = forecast.where(F.col("origin").isin(*blocks)).select(
+        F.regexp_replace("id", F.lit("_evaluation$"), suffix).alias("id"),
+        (F.col("d_num") - F.col("origin")).alias("step"),
+        "q50",
+    )
+    return shown.groupBy("id").agg(
+        *[F.max(F.when(F.col("step") == i, F.col("q50"))).alias(f"F{i}") for i in range(1, horizon + 1)]
     )
 
 

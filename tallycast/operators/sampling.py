@@ -22,10 +22,12 @@ def stratified_sample(ids_cats: DataFrame, n: int | Column, seed: int = 42, stra
         .distinct()
         .withColumn("pick", F.md5(F.concat("id", F.lit(str(seed))).cast("binary")))
         .withColumn("slice", F.substring("pick", 1, 3))
+        # One key for stratum and slice: rows can then only be spread by both, never by the stratum alone.
+        .withColumn("slot", F.concat("slice", stratum))
         .checkpoint()
     )
-    slices = series.groupBy(stratum, "slice").agg(F.count(F.lit(1)).alias("in_slice"))
-    total = series.agg(F.count(F.lit(1))).scalar()
+    slices = series.groupBy("slot", "slice", stratum).agg(F.count(F.lit(1)).alias("in_slice"))
+    total = slices.agg(F.sum("in_slice")).scalar()
     in_stratum = W.partitionBy(stratum)
     before = in_stratum.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -35,12 +37,12 @@ def stratified_sample(ids_cats: DataFrame, n: int | Column, seed: int = 42, stra
         .withColumn("share", F.least(F.lit(1.0), size / F.col("total")))
         .withColumn("quota", F.bround(F.col("share") * F.col("stratum_size")))
         .where(F.col("offset") < F.col("quota"))
-        .select(stratum, "slice", "offset", "quota")
+        .select("slot", "offset", "quota")
     )
-    in_slice = W.partitionBy(stratum, "slice").orderBy("pick", "id")
+    in_slot = W.partitionBy("slot").orderBy("pick", "id")
     return (
-        series.join(offsets, [stratum, "slice"])
-        .withColumn("place", F.col("offset") + F.row_number().over(in_slice))
+        series.join(offsets, "slot")
+        .withColumn("place", F.col("offset") + F.row_number().over(in_slot))
         .where(F.col("place") <= F.col("quota"))
         .select("id", stratum)
     )

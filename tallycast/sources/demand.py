@@ -1,7 +1,7 @@
 """The retail panel derived from the order tables: daily demand, calendar, prices and the wide sales table.
 
-Two grains share one layout. ``fine`` has a series per item group and nation, ``coarse`` one per part
-type and region.
+Two grains share one layout. The fine one has a series per item group and nation, the coarse one per
+part type and region.
 """
 
 from __future__ import annotations
@@ -22,16 +22,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_region(df: DataFrame) -> DataFrame:
-    """Attach state and series id to rows that carry item_id, cat_id, store_id and r_name."""
+# Columns that identify a series and the region it belongs to.
+_SERIES = ["item_id", "cat_id", "store_id", "r_name"]
+
+
+def _as_daily(sums: DataFrame) -> DataFrame:
+    """Attach state and series id to sums per series and day."""
     state = F.col("r_name")
     for region, code in STATE_OF_REGION.items():
         state = F.when(F.col("r_name") == region, F.lit(code)).otherwise(state)
-    return df.withColumn("state_id", state).withColumn("id", F.concat_ws("|", "item_id", "store_id"))
+    return sums.select(
+        F.concat_ws("|", "item_id", "store_id").alias("id"), "item_id", F.col("item_id").alias("dept_id"), "cat_id",
+        "store_id", state.alias("state_id"), "d_num", "sales", "cents", "r_name",
+    )
 
 
-def daily_demand(spark: SparkSession, sf_dir: str, grain: str = "fine") -> DataFrame:
-    """Units and cents sold per series and day, only for days with a sale.
+def daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units and cents sold per item group, nation and day, only for days with a sale.
 
     The lines are summed per part, supplier and day before they meet the dimension tables, and per item
     group, supplier and day before the second join. A part with a third of all lines therefore enters
@@ -45,10 +52,7 @@ def daily_demand(spark: SparkSession, sf_dir: str, grain: str = "fine") -> DataF
         .groupBy("l_partkey", "l_suppkey", day)
         .agg(F.sum(units).alias("sales"), F.sum(cents).alias("cents"))
     )
-    if grain == "fine":
-        item = F.concat_ws("_", "p_type", F.ceil(F.col("p_size") / 25).cast("string"))
-    else:
-        item = F.col("p_type")
+    item = F.concat_ws("_", "p_type", F.ceil(F.col("p_size") / 25).cast("string"))
     parts = _table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), item.alias("item_id"), F.col("p_type").alias("cat_id")
     )
@@ -56,20 +60,20 @@ def daily_demand(spark: SparkSession, sf_dir: str, grain: str = "fine") -> DataF
         _table(spark, sf_dir, "supplier")
         .join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            (F.col("n_name") if grain == "fine" else F.col("r_name")).alias("store_id"),
-            "r_name",
-        )
+        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("store_id"), "r_name")
     )
     sums = [F.sum("sales").alias("sales"), F.sum("cents").alias("cents")]
     by_item = lines.join(parts, "l_partkey").groupBy("item_id", "cat_id", "l_suppkey", "d_num").agg(*sums)
-    by_series = (
-        by_item.join(places, "l_suppkey").groupBy("item_id", "cat_id", "store_id", "r_name", "d_num").agg(*sums)
-    )
-    return _with_region(by_series).select(
-        "id", "item_id", F.col("item_id").alias("dept_id"), "cat_id", "store_id", "state_id", "d_num", "sales", "cents"
+    return _as_daily(by_item.join(places, "l_suppkey").groupBy(*_SERIES, "d_num").agg(*sums))
+
+
+def coarse_demand(daily: DataFrame) -> DataFrame:
+    """The same demand per part type and region, summed from the finer one and not from the lines."""
+    regrouped = daily.select(
+        F.col("cat_id").alias("item_id"), "cat_id", F.col("r_name").alias("store_id"), "r_name", "d_num", "sales", "cents"
     )
+    sums = [F.sum("sales").alias("sales"), F.sum("cents").alias("cents")]
+    return _as_daily(regrouped.groupBy(*_SERIES, "d_num").agg(*sums))
 
 
 def demand_panel(daily: DataFrame) -> DataFrame:

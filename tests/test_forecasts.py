@@ -176,3 +176,21 @@ def test_published_names_round_trip(spark):
     written = publish(out)
     assert written.columns == ["origin", "id", "d_num", "q0.1", "q0.5", "q0.9"]
     assert sorted(unpublish(written).select(*out.columns).collect()) == sorted(out.collect())
+
+
+def test_backtest_over_a_bucketed_panel_shuffles_no_history(spark):
+    """Without broadcast joins, forecasting and scoring a bucketed panel still exchange only small results."""
+    from tallycast.session import scratch_path
+    from tallycast.sources.tables import write_panel_table
+
+    data = panel(spark, A=range(60), B=range(60)).withColumn("split", F.lit("train"))
+    table = write_panel_table(data, "bucketed_panel_test", scratch_path(spark, "bucketed"), 3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        losses = backtest.backtest_losses(table, {"seasonal_naive": forecasters.seasonal_naive}, [40, 50], 7)
+        plan = losses._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert losses.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
