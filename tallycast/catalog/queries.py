@@ -13,7 +13,7 @@ from tallycast.functions.names import (
 )
 from tallycast.functions.quantiles import repair_quantiles
 from tallycast.operators import coldstart, features, forecasters, ingest, metrics, policy, reshape, training_data
-from tallycast.operators.global_forecast import fit_global, forecast_global
+from tallycast.operators.global_forecast import backtest_global, forecast_global
 from tallycast.operators.holt_winters import holt_winters as holt_winters_forecast
 from tallycast.operators.origins import generate_origins, origins_table
 from tallycast.operators.sampling import stratified_sample
@@ -366,12 +366,7 @@ def cold_setup(ws):
 
 @query
 def coldstart_forecast(ws):
-    cold, cutoff, origin = cold_setup(ws)
-    engineered = features.engineer_features(
-        ws.trainval("fine"), ids=ws.population(), cold_ids=cold, cutoff_day=cutoff
-    )
-    model = fit_global(engineered, origin, use_lags=False)
-    return forecast_global(model, engineered, origin)
+    return ws.cold_forecast()
 
 
 # --- training data ------------------------------------------------------------------------------------
@@ -494,6 +489,25 @@ def coldstart_comparison(ws):
     return backtest.coldstart_comparison(cold_scores(ws))
 
 
+@query
+def coldstart_scores(ws):
+    """The cold-start retrained global model by start and volume segment."""
+    panel, cold, _, origin = cold_panel(ws)
+    forecast = ws.cold_forecast().withColumn("model", F.lit("global_coldstart"))
+    losses = backtest.forecast_losses(panel, forecast, [origin])
+    return backtest.segmented_scores(losses, segments(ws, "fine"), cold)
+
+
+@query
+def global_backtest(ws):
+    """The global model refitted at every origin, scored like the per-series models."""
+    panel, origins = ws.trainval("coarse"), origins_of(ws)
+    engineered = features.engineer_features(panel)
+    forecast = backtest_global(engineered, origins).withColumn("model", F.lit("global"))
+    losses = backtest.forecast_losses(panel, forecast, origins)
+    return backtest.results_by_segment(losses, segments(ws, "coarse"))
+
+
 # --- decisions ----------------------------------------------------------------------------------------
 
 
@@ -531,6 +545,17 @@ def policy_headline(ws):
     return policy.policy_headline(policy.policy_summary(per_series(ws)))
 
 
+def global_test_forecast(ws):
+    return forecast_global(ws.global_model(), ws.engineered(), ws.days()["val"])
+
+
+@query
+def global_policy_summary(ws):
+    """The policies on the global model's forecast of the test days."""
+    trace = policy.inventory_trace(policy.policy_input(ws.panel("fine"), global_test_forecast(ws)))
+    return policy.policy_summary(policy.policy_per_series(trace))
+
+
 # --- reshaping and reports ----------------------------------------------------------------------------
 
 
@@ -579,6 +604,14 @@ def submission_table(ws):
     return reports.submission_table(sampled_trend(ws, list(origins)), naive, origins)
 
 
+@query
+def global_submission(ws):
+    """Both blocks from the fitted global model, with the seasonal naive for series it does not cover."""
+    origins = block_origins(ws)
+    covered = global_test_forecast(ws).unionByName(forecast_global(ws.global_model(), ws.engineered(), origins[1]))
+    return reports.submission_table(covered, forecasters.seasonal_naive(ws.panel("fine"), list(origins)), origins)
+
+
 def full_report(ws, grain, frac):
     origin = ws.days()["val"]
     cold = ws.cold(grain, frac)

@@ -10,8 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.functions.names import HORIZON
-from tallycast.operators.coldstart import coldstart_sample
-from tallycast.operators.global_forecast import GlobalModel, fit_global, load_global, save_global
+from tallycast.operators.coldstart import coldstart_cutoff_day, coldstart_sample
+from tallycast.operators.global_forecast import GlobalModel, fit_global, forecast_global, load_global, save_global
 from tallycast.operators.features import engineer_features
 from tallycast.operators.ingest import build_panel
 from tallycast.operators.origins import last_day
@@ -128,3 +128,18 @@ class Workspace:
             return path
 
         return load_global(self.spark, self._once("global_model", write))
+
+    def cold_forecast(self) -> DataFrame:
+        """The global model retrained without lags on the panel whose cold series lost their history."""
+
+        def write(path):
+            origin = self.days()["train"]
+            engineered = engineer_features(
+                self.trainval("fine"), ids=self.population(), cold_ids=self.cold("fine", 0.05),
+                cutoff_day=coldstart_cutoff_day(origin),
+            )
+            model = fit_global(engineered, origin, use_lags=False)
+            forecast_global(model, engineered, origin).write.parquet(path)
+            return path
+
+        return self.spark.read.parquet(self._once("cold_forecast", write))

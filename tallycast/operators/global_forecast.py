@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -135,6 +136,15 @@ def forecast_global(model: GlobalModel, engineered: DataFrame, origin_day: int)
     return repair_quantiles(raw).select(*FORECAST_COLUMNS)
 
 
+def backtest_global(engineered: DataFrame, origins: list[int], **settings) -> DataFrame:
+    """Forecasts of all origins, refitting at each: a model never sees a row after its own origin.
+
+    The loop over origins only submits one distributed fit after the other; its length is the number of origins.
+    """
+    forecasts = [forecast_global(fit_global(engineered, o, **settings), engineered, o) for o in origins]
+    return reduce(DataFrame.unionByName, forecasts)
+
+
 def save_global(model: GlobalModel, path: str) -> None:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     model.bands.write.mode("overwrite").parquet(f"{path}/bands")

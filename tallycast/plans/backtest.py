@@ -26,7 +26,13 @@ def backtest_losses(
     forecasts = [
         forecaster(history, origins, horizon).withColumn("model", F.lit(name)) for name, forecaster in models.items()
     ]
-    scored = score_join(panel, reduce(DataFrame.unionByName, forecasts), origins, horizon)
+    return forecast_losses(panel, reduce(DataFrame.unionByName, forecasts), origins, horizon)
+
+
+def forecast_losses(panel: DataFrame, forecast: DataFrame, origins: list[int], horizon: int = HORIZON) -> DataFrame:
+    """The same losses for forecasts that exist already, labelled with their ``model``."""
+    history = panel.select("id", "d_num", "sales").where(F.col("d_num") <= max(origins))
+    scored = score_join(panel, forecast, origins, horizon)
     return with_mase(series_losses(scored, "model"), mase_scale_as_of(history, origins))
 
 
