@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallycast.functions.names import HORIZON, SEASON
 from tallycast.functions.quantiles import nearest_of_sorted, repair_quantiles
 from tallycast.operators.metrics import seasonal_differences
-from tallycast.operators.origins import origin_array, sums_as_of
+from tallycast.operators.origins import sums_as_of
 
 Forecaster = Callable[[DataFrame, list[int], int], DataFrame]
 FORECAST_COLUMNS = ["origin", "id", "d_num", "q10", "q50", "q90"]
@@ -30,14 +30,22 @@ def horizon_grid(series: DataFrame, horizon: int = HORIZON, lag: int = SEASON) -
     )
 
 
-def series_arrays(history: DataFrame, origins: list[int]) -> DataFrame:
-    """One row per series with its days and sales in day order.
+def rows_seen(origins: list[int]) -> list[Column]:
+    """Aggregate: for each origin, how many rows of a series it may see."""
+    counts = [
+        F.struct(F.lit(o).cast("long").alias("origin"), F.count_if(F.col("d_num") <= o).alias("n")) for o in origins
+    ]
+    return [F.array(*counts).alias("seen")]
+
+
+def series_arrays(history: DataFrame, origins: list[int], *more: Column) -> DataFrame:
+    """One row per series with its days and sales in day order, and ``more`` aggregates.
 
     (id, d_num) is unique, so an array holds at most one entry per day and stays small for any series.
     """
     seen = history.where(F.col("d_num") <= max(origins))
     point = F.struct(F.col("d_num").cast("long").alias("d_num"), F.col("sales").cast("double").alias("sales"))
-    return seen.groupBy("id").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    return seen.groupBy("id").agg(F.sort_array(F.collect_list(point)).alias("points"), *more)
 
 
 def last_pattern(history: DataFrame, lag: int = SEASON) -> DataFrame:
@@ -64,20 +72,26 @@ def resid_quantiles(history: DataFrame, lag: int = SEASON) -> DataFrame:
 
 
 def seasonal_naive(history: DataFrame, origins: list[int], horizon: int = HORIZON, lag: int = SEASON) -> DataFrame:
-    """The last ``lag`` values repeated; the spread comes from the series' own seasonal residuals."""
-    origin = F.explode(origin_array(origins)).alias("origin")
-    seen = F.filter("points", lambda p: p["d_num"] <= F.col("origin"))
-    y = (
-        series_arrays(history, origins)
-        .select("id", "points", origin)
-        .select("id", "origin", F.transform(seen, lambda p: p["sales"]).alias("y"))
-        .where(F.size("y") >= lag)
+    """The last ``lag`` values repeated; the spread comes from the series' own seasonal residuals.
+
+    Residuals are taken once per series. Days are in order, so what an origin may see of sales and
+    residuals is a prefix whose length is a plain conditional count.
+    """
+    y = F.col("points.sales")
+    n_resid = F.greatest(F.size(y) - lag, F.lit(0))
+    resid = F.zip_with(F.slice(y, lag + 1, n_resid), F.slice(y, 1, n_resid), lambda now, then: now - then)
+    # A step of its own: next to the explode, the residuals would be computed again for every origin.
+    whole = series_arrays(history, origins, *rows_seen(origins)).select(
+        "id", "seen", y.alias("y"), resid.alias("resid")
+    )
+    n = F.col("seen.n").cast("int")
+    visible = whole.select("id", "y", "resid", F.explode("seen").alias("seen")).where(n >= lag).select(
+        "id",
+        F.col("seen.origin").alias("origin"),
+        F.slice("y", n - lag + 1, lag).alias("pattern"),
+        F.sort_array(F.slice("resid", 1, n - lag)).alias("resid"),
     )
-    n_resid = F.size("y") - lag
-    resid = F.zip_with(F.slice("y", lag + 1, n_resid), F.slice("y", 1, n_resid), lambda now, then: now - then)
-    per_series = y.select(
-        "id", "origin", F.slice("y", n_resid + 1, lag).alias("pattern"), F.sort_array(resid).alias("resid")
-    ).select(
+    per_series = visible.select(
         "id",
         "origin",
         "pattern",
