@@ -21,7 +21,7 @@ HEADLINE = [
     "daily_demand", "scan_csv", "split_profile", "engineer_features", "rolling_features", "volume_segment",
     "stratified_sample_series", "seasonal_naive", "trend_weekly", "holt_winters", "backtest_results",
     "backtest_all_models", "segmented_scores", "training_panel", "training_windows", "policy_summary",
-    "submission_table", "series_report", "global_forecast", "score_later_origin", "coldstart_forecast",
+    "submission_table", "series_report", "global_forecast", "score_later_origin", "coldstart_forecast", "global_policy_summary",
 ]
 
 
