@@ -2,6 +2,7 @@
 
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the local cores. ``build_panel`` reads the order
 lines and writes the processed panels; the other queries start from those, as later runs of a pipeline do.
+``global_forecast`` includes writing the features and fitting the model; the later queries reuse that model.
 """
 
 from __future__ import annotations
