@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
 from tallycast.llm.minhash_dedup import near_duplicates
+from tallycast.llm.mixing import mix_sources
+from tallycast.llm.oracle_mixing import MIXING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+@query
+def op3_source_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies", "virtual_finish")
+
+
+ORACLES["op3_source_mixing"] = MIXING
+
+
 @query
 def op9_bpe_round_trip(spark, sf_dir):
     coded = encode_documents(
