@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
+from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
 from tallycast.llm.oracle_mixing import MIXING
@@ -33,6 +34,12 @@ def op3_source_mixing(spark, sf_dir):
 ORACLES["op3_source_mixing"] = MIXING
 
 
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return predict_language(docs, learn_languages(docs))
+
+
 @query
 def op9_bpe_round_trip(spark, sf_dir):
     coded = encode_documents(
