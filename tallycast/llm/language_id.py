@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallycast.llm.text import as_bytes, chunks, map_arrow
+from tallycast.llm.text import as_bytes, chunks
 
 SAMPLE_SYMBOLS, SAMPLE_CHARS = 24_000, 600
 MAX_LANGUAGES, MAX_TOTAL_SYMBOLS = 128, 1_000_000
@@ -167,33 +167,49 @@ def _languages(texts: dict[str, list[str]], quota: int) -> Languages:
     return out
 
 
-def predict_language(docs: DataFrame, languages: Languages, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def predict_language(
+    docs: DataFrame, languages: Languages, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None,
+) -> DataFrame:
     """``[id_column, held_out, lang_pred, score, bits]`` for every document, from its text alone.
 
     ``bits`` is the cross-parsing entropy of the best language: phrases times the bits of a place in its sample, per
     symbol. ``score`` is one minus its ratio to the second best, 1 with one language. Ties go to the first name.
     ``und`` with score 0 and null bits: null text, no letter in it, or no language learned. Repeated and null ids keep
     their rows. Whole texts are parsed; memory is bounded by one text and the tables, which are bounded by the sample.
+    ``carry`` names columns to hand through; they replace the id in the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
-    def run(rows):
+    def predicted(texts: list[bytes | None]):
         known = shared.value
-        for held in chunks(((key, text or b"") for key, text in rows), 1 << 20):
-            texts = [known.symbols(text.decode(errors="replace")) for _, text in held]
-            lettered = np.array([bool((text != GAP).any()) for text in texts])
-            names, scores, bits = ["und"] * len(held), np.zeros(len(held)), [None] * len(held)
-            if known.names and lettered.any():
-                lengths = np.array([max(len(text), 1) for text in texts])
-                rates = known.phrases(texts) * np.log2(known.sizes) / lengths[:, None]
-                order = np.argsort(rates, axis=1, kind="stable")
-                for i in np.flatnonzero(lettered):
-                    best = rates[i, order[i, 0]]
-                    names[i], bits[i] = known.names[order[i, 0]], float(best)
-                    scores[i] = 1.0 if len(known.names) == 1 else 1.0 - best / rates[i, order[i, 1]]
-            yield [pa.array([key for key, _ in held], pa.int64()), pa.array(names), pa.array(scores), pa.array(bits, pa.float64())]
-
-    source = docs.select(F.col(id_column).cast("long").alias("id"), as_bytes(text_column).alias("text"))
-    found = map_arrow(source, run, "id long, lang_pred string, score double, bits double")
-    return found.select(F.col("id").alias(id_column), held_out("id").alias("held_out"), "lang_pred", "score", "bits")
-
+        for held in chunks(((None, text or b"") for text in texts), 1 << 20):
+            symbols = [known.symbols(text.decode(errors="replace")) for _, text in held]
+            if not known.names:
+                yield from [("und", 0.0, None)] * len(held)
+                continue
+            lengths = np.array([max(len(text), 1) for text in symbols])
+            rates = known.phrases(symbols) * np.log2(known.sizes) / lengths[:, None]
+            order = np.argsort(rates, axis=1, kind="stable")
+            for i, text in enumerate(symbols):
+                if not (text != GAP).any():
+                    yield "und", 0.0, None
+                    continue
+                best = float(rates[i, order[i, 0]])
+                yield known.names[order[i, 0]], 1.0 if len(known.names) == 1 else 1.0 - best / float(rates[i, order[i, 1]]), best
+
+    def run(batches):
+        for batch in batches:
+            found = list(predicted(batch.column("__text").to_pylist()))
+            names, scores, bits = zip(*found) if found else ((), (), ())
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("__carried"), *columns], names=["__carried", "lang_pred", "score", "bits"])
+
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.col(f"`{id_column}`"))
+    source = docs.select(carried.alias("__carried"), as_bytes(text_column).alias("__text"))
+    schema = T.StructType([
+        source.schema["__carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("bits", T.DoubleType())])
+    found = source.mapInArrow(run, schema)
+    if carry:
+        return found.select("__carried.*", "lang_pred", "score", "bits")
+    return found.select(F.col(f"__carried.`{id_column}`"), held_out(f"__carried.`{id_column}`").alias("held_out"), "lang_pred", "score", "bits")

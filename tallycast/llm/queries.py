@@ -12,6 +12,7 @@ from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
 from tallycast.llm.oracle_mixing import MIXING
+from tallycast.llm.paragraph_dedup import drop_repeated_paragraphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ def op3_source_mixing(spark, sf_dir):
 ORACLES["op3_source_mixing"] = MIXING
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    return drop_repeated_paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "n_spans", "text")
+
+
 @query
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
