@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tallycast.llm.text import as_bytes, chunks, lists, map_arrow
+from tallycast.llm.text import as_bytes, chunks, gathered, lists, map_arrow
 
 #: The white space and the split pattern of byte-level vocabularies of this family.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -246,9 +246,8 @@ def decode_documents(encoded: DataFrame, path: str, id_column: str = "doc_id", i
 
     def run(rows) -> Iterator[list]:
         tables = vocabulary(content)
-        for key, ids in rows:
-            text = tables.decode(np.array(ids or [], dtype=np.int64))
-            yield [pa.array([key], pa.int64()), pa.array([text], pa.binary())]
+        texts = ((key, tables.decode(np.array(ids or [], dtype=np.int64))) for key, ids in rows)
+        yield from gathered(texts, [pa.int64(), pa.binary()], weigh=lambda row: len(row[1]) + 64)
 
     source = encoded.select(F.col(id_column).cast("long").alias("id"), F.col(ids_column).alias("ids"))
     return map_arrow(source, run, "id long, text binary").select(F.col("id").alias(id_column), F.col("text").cast("string").alias("text"))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
+from tallycast.llm.bwt_dedup import drop_repeated_strings
 from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
@@ -35,6 +36,14 @@ def op3_source_mixing(spark, sf_dir):
 ORACLES["op3_source_mixing"] = MIXING
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    cut = drop_repeated_strings(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_substring_dedup(spark, sf_dir):
     return drop_repeated_paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "n_spans", "text")

@@ -120,6 +120,19 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def gathered(rows: Iterable[tuple], kinds: list[pa.DataType], size: int = CHUNK_BYTES, weigh=lambda row: 64) -> Iterator[list[pa.Array]]:
+    """Row tuples as columns, in batches of about ``size`` by the given weight."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += weigh(row)
+        if total >= size:
+            yield [pa.array(list(values), kind) for values, kind in zip(zip(*held), kinds)]
+            held, total = [], 0
+    if held:
+        yield [pa.array(list(values), kind) for values, kind in zip(zip(*held), kinds)]
+
+
 def lists(values: np.ndarray, lengths: Iterable[int]) -> pa.Array:
     """A column of arrays over one flat buffer."""
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(lengths, dtype=np.int64))]).astype(np.int32)
