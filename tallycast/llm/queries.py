@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
 from tallycast.llm.bwt_dedup import drop_repeated_strings
+from tallycast.llm.embedding_dedup import near_duplicate_vectors
 from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
@@ -55,6 +56,11 @@ def op6_language_id(spark, sf_dir):
     return predict_language(docs, learn_languages(docs))
 
 
+@query
+def op8_embedding_dedup(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_bpe_round_trip(spark, sf_dir):
     coded = encode_documents(
