@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
 from tallycast.llm.bwt_dedup import drop_repeated_strings
+from tallycast.llm.cotraining import score_quality, train_quality
 from tallycast.llm.embedding_dedup import near_duplicate_vectors
+from tallycast.llm.hamming_search import TOP_K, embedding_top_k
 from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
 from tallycast.llm.oracle_mixing import MIXING
 from tallycast.llm.paragraph_dedup import drop_repeated_paragraphs
+from tallycast.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_url_rules(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_hamming_top_k(spark, sf_dir):
+    return embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_hamming_top_k"] = TOP_K
+
+
 @query
 def op3_source_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies", "virtual_finish")
@@ -56,6 +72,12 @@ def op6_language_id(spark, sf_dir):
     return predict_language(docs, learn_languages(docs))
 
 
+@query
+def op7_quality_cotraining(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_embedding_dedup(spark, sf_dir):
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
