@@ -16,6 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallycast.catalog.queries import QUERIES
 from tallycast.catalog.workspace import Workspace
+from tallycast.operators.origins import generate_origins
+from tallycast.plans.backtest import FORECASTERS
 from tallycast.session import local_session
 
 HEADLINE = [
@@ -23,6 +25,7 @@ HEADLINE = [
     "stratified_sample_series", "seasonal_naive", "trend_weekly", "holt_winters", "backtest_results",
     "backtest_all_models", "segmented_scores", "training_panel", "training_windows", "policy_summary",
     "submission_table", "series_report", "global_forecast", "score_later_origin", "coldstart_forecast", "global_policy_summary",
+    "global_backtest",
 ]
 
 
@@ -41,7 +44,8 @@ def main() -> None:
     for name in HEADLINE:
         sink = lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = timed(sink)
-    n_series, n_origins, n_models = 300, 5, 3
+    n_series = ws.panel("fine").select("id").distinct().count()
+    n_origins, n_models = len(generate_origins(ws.days()["val"])), len(FORECASTERS)
     print(json.dumps({
         "metric": "total seconds over headline queries",
         "value": round(sum(seconds.values()), 3),

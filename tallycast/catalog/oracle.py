@@ -4,6 +4,8 @@ windows, so it shares no shortcut with the Spark side (no array plans, no per-st
 
 from __future__ import annotations
 
+import re
+
 from tallycast.functions.names import CALENDAR_CATEGORICALS, STATIC_CATEGORICALS
 
 ORACLES: dict[str, str] = {}
@@ -26,7 +28,7 @@ def base(grain: str) -> str:
     else:
         item, store = "p_type", "r_name"
     return f"""
-daily AS (
+daily AS MATERIALIZED (
   SELECT item_id || '|' || store_id AS id, item_id, item_id AS dept_id, cat_id, store_id, state_id, d_num,
          CAST(sum(units) AS BIGINT) AS sales, CAST(sum(cents) AS BIGINT) AS cents
   FROM (
@@ -59,10 +61,11 @@ weekly AS (
 prices AS (
   SELECT store_id, item_id, wm_yr_wk,
          CAST(last_value(paid IGNORE NULLS) OVER (PARTITION BY store_id, item_id ORDER BY wm_yr_wk
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS sell_price
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) AS sell_price
   FROM (SELECT store_id, item_id, CAST(unnest(generate_series(first_week, (SELECT (m + 27) // 7 + 1 FROM bounds))) AS INTEGER) AS wm_yr_wk
         FROM (SELECT store_id, item_id, min(wm_yr_wk) AS first_week FROM weekly GROUP BY ALL))
-  LEFT JOIN weekly USING (store_id, item_id, wm_yr_wk)),
+  LEFT JOIN weekly USING (store_id, item_id, wm_yr_wk)
+  QUALIFY sell_price IS NOT NULL),
 long AS (
   SELECT dims.*, 'd_' || all_days.d_num AS d, all_days.d_num, CAST(coalesce(daily.sales, 0) AS INTEGER) AS sales
   FROM dims CROSS JOIN all_days LEFT JOIN daily ON daily.id = dims.id AND daily.d_num = all_days.d_num
@@ -74,7 +77,7 @@ joined AS (
          "snap_CA", "snap_TX", "snap_WI", sell_price
   FROM long LEFT JOIN calendar c ON long.d = c.d
   LEFT JOIN prices p ON long.store_id = p.store_id AND long.item_id = p.item_id AND c.wm_yr_wk = p.wm_yr_wk),
-panel AS (
+panel AS MATERIALIZED (
   SELECT *, CASE WHEN d_num > (SELECT val_end FROM bounds) THEN 'test'
                  WHEN d_num > (SELECT train_end FROM bounds) THEN 'val' ELSE 'train' END AS split
   FROM joined WHERE sell_price IS NOT NULL),
@@ -99,7 +102,7 @@ def nearest(values: str, level: float) -> str:
 
 def history(rows: str) -> str:
     return f"""
-history AS (
+history AS MATERIALIZED (
   SELECT origin, id, d_num, sales, count(*) OVER (PARTITION BY origin, id) AS n,
          row_number() OVER (PARTITION BY origin, id ORDER BY d_num DESC) AS back,
          sales - lag(sales, 7) OVER (PARTITION BY origin, id ORDER BY d_num) AS resid
@@ -115,7 +118,7 @@ NAIVE = f"""
 bands AS (
   SELECT origin, id, coalesce({nearest('l', 0.1)}, 0) AS low, coalesce({nearest('l', 0.9)}, 0) AS high
   FROM (SELECT origin, id, list_sort(list(resid) FILTER (WHERE resid IS NOT NULL)) AS l FROM history GROUP BY origin, id)),
-naive AS (
+naive AS MATERIALIZED (
   SELECT h.origin, h.id, CAST(h.origin + step AS INTEGER) AS d_num, {repaired('sales + low', 'sales', 'sales + high')}
   FROM (SELECT unnest(generate_series(1, 28)) AS step) JOIN history h ON 7 - h.back = (step - 1) % 7
   JOIN bands ON bands.origin = h.origin AND bands.id = h.id WHERE h.back <= 7 AND h.n >= 7)"""
@@ -209,16 +212,16 @@ sql("daily_demand", "fine", [], "SELECT * FROM daily")
 sql("daily_demand_coarse", "coarse", [], "SELECT * FROM daily")
 sql("calendar_dim", "coarse", [], "SELECT * FROM calendar")
 sql("sell_prices", "fine", [], f"SELECT store_id, item_id, wm_yr_wk, {rounded('sell_price')} FROM prices")
-sql("scan_csv", "coarse", [], f"SELECT id, d_num, date, sales, {rounded('sell_price')}, event_name_1, split FROM panel")
+sql("scan_csv", "fine", [], f"SELECT id, d_num, date, sales, {rounded('sell_price')}, event_name_1, split FROM panel")
 sql("melt_sales", "coarse", [], "SELECT id, item_id, dept_id, cat_id, store_id, state_id, d, sales, d_num FROM long")
 sql("join_calendar", "coarse", [], """SELECT id, d_num, sales, d, date, wm_yr_wk, weekday, wday, month, year,
   event_name_1, event_type_1, event_name_2, event_type_2, "snap_CA", "snap_TX", "snap_WI" FROM joined""")
-sql("join_prices", "coarse", [], f"SELECT id, d_num, wm_yr_wk, {rounded('sell_price')} FROM joined")
-sql("drop_pre_release", "coarse", [], f"SELECT id, d_num, sales, {rounded('sell_price')} FROM joined WHERE sell_price IS NOT NULL")
+sql("join_prices", "fine", [], f"SELECT id, d_num, wm_yr_wk, {rounded('sell_price')} FROM joined")
+sql("drop_pre_release", "fine", [], f"SELECT id, d_num, sales, {rounded('sell_price')} FROM joined WHERE sell_price IS NOT NULL")
 sql("pre_release_stats", "fine", [], """SELECT count(*) AS rows_before, count(sell_price) AS rows_after,
   count(*) - count(sell_price) AS rows_dropped,
   round(100.0::DOUBLE * (count(*) - count(sell_price)) / count(*), 2) + 0.0 AS pct_dropped FROM joined""")
-sql("assign_split", "coarse", [], "SELECT id, d_num, split FROM panel")
+sql("assign_split", "fine", [], "SELECT id, d_num, split FROM panel")
 sql("split_profile", "fine", [], """SELECT split, count(*) AS rows, min(d_num) AS min_day, max(d_num) AS max_day,
   count(DISTINCT id) AS n_series FROM panel GROUP BY split""")
 sql("load_panel", "coarse", [], "SELECT id, cat_id, d_num, sales, date FROM trainval")
@@ -245,7 +248,7 @@ def engineered(rows: str) -> str:
 engineered AS (
   SELECT id, cat_id, d_num, CAST(sales AS DOUBLE) AS sales, sell_price, {SNAP} AS snap, wday, month, year,
          {PRICE_FLAG} AS price_change_flag, {COLD_FLAG} AS coldstart_flag, {ROLLING},
-         lag(sales, 7) OVER s AS lag_7 FROM {rows} {WINDOWS})"""
+         lag(sales, 7) OVER s AS lag_7, lag(sales, 28) OVER s AS lag_28 FROM {rows} {WINDOWS})"""
 
 
 ENGINEERED = f"""id, d_num, {rounded('sales', 'sell_price')}, snap, wday, month, year, price_change_flag,
@@ -277,6 +280,14 @@ sql("coldstart_truncate", "coarse", [cold("panel", 0.2), truncated("panel")], "S
 # --- metrics ------------------------------------------------------------------------------------------
 
 sql("volume_segment", "fine", [SEGMENTS], f"SELECT id, {rounded('avg_daily_sales')}, volume_segment FROM segments")
+sql("exact_threshold", "fine", [SEGMENTS, """few AS (
+  SELECT list_sort(list(avg_daily_sales)) AS l FROM segments WHERE id < (SELECT max(id) FROM segments))"""],
+    " UNION ALL ".join(f"SELECT {x}::DOUBLE AS level, {r(nearest('l', x))} AS threshold FROM few" for x in (0.1, 0.5, 0.8, 0.9)))
+sql("residual_bands", "coarse", NAIVE_SCORES + [SEGMENTS, """judged AS (
+  SELECT CAST(d_num - origin AS INTEGER) AS h, volume_segment, list_sort(list(CAST(sales - q50 AS DOUBLE))) AS l
+  FROM scored JOIN segments USING (id) GROUP BY ALL)"""],
+    f"""SELECT h, volume_segment, {r('l[CAST(ceil(0.1 * len(l)) AS INTEGER)]')} AS low,
+  {r('l[CAST(ceil(0.9 * len(l)) AS INTEGER)]')} AS high FROM judged""")
 DIFFS = "diffs AS (SELECT id, sales - lag(sales, 7) OVER (PARTITION BY id ORDER BY d_num) AS resid FROM trainval)"
 sql("resid_quantiles", "coarse", [DIFFS],
     f"SELECT id, {nearest('l', 0.1)} AS resid_q10, {nearest('l', 0.9)} AS resid_q90 FROM "
@@ -320,7 +331,7 @@ candidates AS (
 def horizon_join(rows: str) -> str:
     return f"""
 pairs AS (
-  SELECT c.*, t.place - b.place AS h, CAST(t.sales AS DOUBLE) AS target
+  SELECT c.*, t.place - b.place AS h, t.d_num AS target_day, CAST(t.sales AS DOUBLE) AS target
   FROM candidates c JOIN placed b ON b.id = c.id AND b.d_num = c.d_num
   JOIN placed t ON t.id = c.id AND t.place BETWEEN b.place + 1 AND b.place + 28
   WHERE t.d_num <= (SELECT train_end FROM bounds)),
@@ -363,12 +374,41 @@ sql("series_scale", "fine", [], f"SELECT id, {r('greatest(avg(sales), 0.000001)'
 sql("leakage_audit", "fine", COLD_CUT + [
     LAST_ORIGIN, history("cut"), NAIVE, engineered("cut"), CANDIDATES, placed("cut"), horizon_join("cut"),
     "cold_rows AS (SELECT * FROM cut WHERE id IN (SELECT id FROM cold))",
+    """weekly_seen AS (
+  SELECT store_id, item_id, (d_num - 1) // 7 + 1 AS wm_yr_wk, CAST(sum(cents) AS BIGINT) // CAST(sum(sales) AS BIGINT) / 100.0 AS paid
+  FROM daily WHERE d_num <= (SELECT train_end FROM bounds) GROUP BY ALL)""",
+    """repriced AS (
+  SELECT k.*, (SELECT arg_max(CAST(paid AS DOUBLE), w.wm_yr_wk) FROM weekly_seen w
+               WHERE w.store_id = k.store_id AND w.item_id = k.item_id AND w.wm_yr_wk < k.wm_yr_wk) AS price_by_origin
+  FROM (SELECT DISTINCT store_id, item_id, wm_yr_wk, sell_price FROM cut, bounds
+        WHERE d_num > train_end - 28 AND wm_yr_wk <= (train_end - 1) // 7 + 1) k)""",
     windows("cold_rows", 0, 1).replace("FROM placed", "FROM (SELECT id, d_num, sales, row_number() OVER (PARTITION BY id ORDER BY d_num) AS place FROM cold_rows)")],
     """SELECT 'cold_history_before_cutoff' AS rule, count(*) AS rows_checked, count(*) FILTER (WHERE d_num < (SELECT cutoff FROM bounds)) AS violations FROM cold_rows
 UNION ALL SELECT 'cold_window_before_cutoff', count(*), count(*) FILTER (WHERE encoder_start < (SELECT cutoff FROM bounds)) FROM windows
-UNION ALL SELECT 'target_past_origin', count(*), count(*) FILTER (WHERE d_num + h > (SELECT train_end FROM bounds)) FROM pairs
+UNION ALL SELECT 'target_past_origin', count(*), count(*) FILTER (WHERE target_day > (SELECT train_end FROM bounds)) FROM pairs
+UNION ALL SELECT 'training_target_inside_held_out', count(*), count(*) FILTER (WHERE target_day >=
+    (SELECT min(target_day) FROM pairs WHERE d_num > (SELECT train_end - 56 FROM bounds)))
+  FROM pairs WHERE d_num <= (SELECT train_end - 84 FROM bounds)
+UNION ALL SELECT 'price_from_later_sales', count(*), count(*) FILTER (WHERE sell_price IS DISTINCT FROM price_by_origin) FROM repriced
 UNION ALL SELECT 'forecast_inside_history', count(*), count(*) FILTER (WHERE d_num <= origin) FROM naive""")
 
+sql("global_predict_rows", "fine", ["""ahead AS (
+  SELECT s.*, CAST(NULL AS INTEGER) AS sales, a.d_num, wday, month, year, "snap_CA", "snap_TX", "snap_WI", sell_price
+  FROM (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM panel) s CROSS JOIN all_days a JOIN calendar c ON c.d = 'd_' || a.d_num
+  LEFT JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk WHERE a.d_num > (SELECT m FROM bounds))""", """
+extended AS (SELECT id, cat_id, state_id, d_num, sales, sell_price, wday, month, year, "snap_CA", "snap_TX", "snap_WI" FROM panel
+  UNION ALL SELECT id, cat_id, state_id, d_num, sales, sell_price, wday, month, year, "snap_CA", "snap_TX", "snap_WI" FROM ahead)""",
+    engineered("extended"),
+    "starts AS (SELECT train_end AS origin FROM bounds UNION ALL SELECT val_end FROM bounds UNION ALL SELECT m FROM bounds)"],
+    f"""SELECT origin, e.id, CAST(t.d_num - origin AS INTEGER) AS h, t.d_num AS target_day, {r('e.sell_price')} AS sell_price, e.snap,
+  e.coldstart_flag, {r('e.rolling_mean_7')} AS rolling_mean_7, {r('e.rolling_std_28')} AS rolling_std_28, {r('e.lag_7')} AS lag_7, {r('e.lag_28')} AS lag_28
+  FROM engineered e JOIN starts ON e.d_num = origin JOIN extended t ON t.id = e.id AND t.d_num BETWEEN origin + 1 AND origin + 28""")
+sql("recent_mean", "coarse", [ORIGINS, history("trainval"), """recent AS (
+  SELECT origin, id, CAST(min(sales) AS DOUBLE) AS lo, avg(sales) AS mid, CAST(max(sales) AS DOUBLE) AS hi
+  FROM history WHERE back <= 28 AND n >= 28 GROUP BY origin, id)"""],
+    f"""SELECT CAST(origin AS BIGINT) AS origin, id, CAST(origin + step AS BIGINT) AS d_num, {r('lo')} AS q10, {r('mid')} AS q50, {r('hi')} AS q90
+  FROM recent, (SELECT unnest(generate_series(1, 28)) AS step)""")
+
 # --- backtest reports ---------------------------------------------------------------------------------
 
 sql("score_forecast", "coarse", [LAST_ORIGIN, history("trainval"), NAIVE, scores(NAIVE_ONLY, "trainval"),
@@ -451,9 +491,18 @@ sql("future_rows", "fine", [], f"""SELECT s.id, a.d_num, date, c.wm_yr_wk, weekd
   LEFT JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk
   WHERE a.d_num > (SELECT m FROM bounds)""")
 sql("explode_forecast", "coarse", [ORIGINS, history("trainval"), NAIVE], f"SELECT {FORECAST} FROM naive")
-BLEND = [BLOCK_ORIGINS, history("panel"), NAIVE, TREND, sample("chosen", "panel", "12", 42), """
-blend AS (SELECT * FROM trend WHERE id IN (SELECT id FROM chosen)
-  UNION ALL SELECT * FROM naive WHERE id NOT IN (SELECT id FROM chosen))"""]
+
+
+def on_seen(part: str) -> str:
+    """The same SQL on the rows ``seen`` instead of ``history``."""
+    return re.sub(r"\bhistory\b", "seen", part)
+
+
+BLEND = [BLOCK_ORIGINS, history("panel"), NAIVE, cold("(SELECT * FROM panel WHERE split = 'train')", 0.2),
+    "visible AS (SELECT * FROM panel WHERE id NOT IN (SELECT id FROM cold) OR d_num >= (SELECT val_end - 9 FROM bounds))",
+    on_seen(history("visible")), on_seen(TREND), """
+blend AS (SELECT * FROM trend UNION ALL
+  SELECT * FROM naive n WHERE NOT EXISTS (SELECT 1 FROM trend t WHERE t.origin = n.origin AND t.id = n.id))"""]
 sql("blend_forecasts", "coarse", BLEND, f"SELECT {FORECAST} FROM blend")
 
 

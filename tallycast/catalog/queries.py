@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -11,9 +12,9 @@ from tallycast.functions.losses import pinball
 from tallycast.functions.names import (
     CALENDAR_CATEGORICALS, CALENDAR_COLUMNS, HORIZON, ID_COLUMNS, QUANTILES, STATIC_CATEGORICALS,
 )
-from tallycast.functions.quantiles import repair_quantiles
+from tallycast.functions.quantiles import exact_quantile, repair_quantiles
 from tallycast.operators import coldstart, features, forecasters, ingest, metrics, policy, reshape, training_data
-from tallycast.operators.global_forecast import backtest_global, forecast_global
+from tallycast.operators.global_forecast import backtest_global, forecast_global, held_out_windows, predict_rows, residual_bands as global_bands
 from tallycast.operators.holt_winters import holt_winters as holt_winters_forecast
 from tallycast.operators.origins import generate_origins, origins_table
 from tallycast.operators.sampling import stratified_sample
@@ -70,10 +71,10 @@ def sell_prices(ws):
 def scan_csv(ws):
     """The three raw tables written as CSV, scanned again and taken through the whole ingest."""
     root = scratch_path(ws.spark, "raw")
-    wide = demand.sales_wide(ws.long("coarse"), ws.days()["test"])
+    wide = demand.sales_wide(ws.long("fine"), ws.days()["test"])
     sales = tables.scan_sales_wide(ws.spark, tables.write_csv(wide, f"{root}/sales"))
     calendar = tables.scan_calendar(ws.spark, tables.write_csv(ws.calendar(), f"{root}/calendar"))
-    prices = tables.scan_prices(ws.spark, tables.write_csv(ws.prices("coarse"), f"{root}/prices"))
+    prices = tables.scan_prices(ws.spark, tables.write_csv(ws.prices("fine"), f"{root}/prices"))
     return ingest.build_panel(ingest.melt_sales(sales), calendar, prices).select(
         "id", "d_num", "date", "sales", "sell_price", "event_name_1", "split"
     )
@@ -93,13 +94,13 @@ def join_calendar(ws):
 
 @query
 def join_prices(ws):
-    joined = ingest.join_prices(ingest.join_calendar(ws.long("coarse"), ws.calendar()), ws.prices("coarse"))
+    joined = ingest.join_prices(ingest.join_calendar(ws.long("fine"), ws.calendar()), ws.prices("fine"))
     return joined.select("id", "d_num", "wm_yr_wk", "sell_price")
 
 
 @query
 def drop_pre_release(ws):
-    joined = ingest.join_prices(ingest.join_calendar(ws.long("coarse"), ws.calendar()), ws.prices("coarse"))
+    joined = ingest.join_prices(ingest.join_calendar(ws.long("fine"), ws.calendar()), ws.prices("fine"))
     return ingest.drop_pre_release(joined).select("id", "d_num", "sales", "sell_price")
 
 
@@ -112,7 +113,7 @@ def pre_release_stats(ws):
 
 @query
 def assign_split(ws):
-    joined = ingest.join_prices(ingest.join_calendar(ws.long("coarse"), ws.calendar()), ws.prices("coarse"))
+    joined = ingest.join_prices(ingest.join_calendar(ws.long("fine"), ws.calendar()), ws.prices("fine"))
     return ingest.assign_split(ingest.drop_pre_release(joined)).select("id", "d_num", "split")
 
 
@@ -135,7 +136,7 @@ def parquet_roundtrip(ws):
 @query
 def csv_roundtrip(ws):
     results = backtest.run_backtest(
-        ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse")
+        ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse"), trusted=True
     )
     path = tables.write_csv(results, scratch_path(ws.spark, "results"), single_file=True)
     return tables.read_report(ws.spark, path)
@@ -206,7 +207,7 @@ def engineer_features_coldstart(ws):
 
 @query
 def restrict_series(ws):
-    chosen = ws.covered()
+    chosen = ws.dozen()
     return features.restrict_series(ws.panel("coarse"), chosen).select("id", "d_num", "sales")
 
 
@@ -239,7 +240,7 @@ def coldstart_truncate(ws):
 
 
 def segments(ws, grain):
-    return metrics.volume_segment(ws.panel(grain).where("split = 'train'"), ws.days()["train"])
+    return ws.segments(grain)
 
 
 def naive_scored(ws):
@@ -249,7 +250,17 @@ def naive_scored(ws):
 
 @query
 def volume_segment(ws):
-    return segments(ws, "fine")
+    return metrics.volume_segment(ws.panel("fine").where("split = 'train'"), ws.days()["train"])
+
+
+@query
+def exact_threshold(ws):
+    """The volume threshold at several levels over train means of all series but one, a number with remainder 4 or 9."""
+    means = ws.segments("fine")
+    last = means.agg(F.max("id")).scalar()
+    few = means.where(F.col("id") < last)
+    levels = [exact_quantile(few, "avg_daily_sales", x).withColumn("level", F.lit(x)) for x in (0.1, 0.5, 0.8, 0.9)]
+    return reduce(DataFrame.unionByName, levels).select("level", "threshold")
 
 
 @query
@@ -344,7 +355,7 @@ def holt_winters(ws):
 
 @query
 def global_forecast(ws):
-    """The global model at the end of train, for every series of its population."""
+    """The global model at the end of train, for every series."""
     return forecast_global(ws.global_model(), ws.engineered(), ws.days()["train"])
 
 
@@ -357,6 +368,33 @@ def score_later_origin(ws):
     )
 
 
+@query
+def global_predict_rows(ws):
+    """What the global model predicts from, at the end of train and at both later blocks."""
+    days = ws.days()
+    rows = [predict_rows(ws.engineered(), days[split]).withColumn("origin", F.lit(days[split])) for split in ("train", "val", "test")]
+    return reduce(DataFrame.unionByName, rows).select(
+        "origin", "id", "h", "target_day", "sell_price", "snap", "coldstart_flag", "rolling_mean_7", "rolling_std_28", "lag_7", "lag_28")
+
+
+@query
+def residual_bands(ws):
+    """Residual quantiles of the seasonal naive by step of the horizon and volume segment."""
+    judged = naive_scored(ws).join(segments(ws, "coarse").select("id", "volume_segment"), "id")
+    residuals = judged.select((F.col("d_num") - F.col("origin")).cast("int").alias("h"), "volume_segment", (F.col("sales") - F.col("q50")).alias("residual"))
+    return global_bands(residuals, "h", "volume_segment")
+
+
+@query
+def recent_mean(ws):
+    """A forecaster made from a plain function: mean, least and largest of the last 28 days."""
+    def fit(days, sales, origin, horizon):
+        last = sales[-HORIZON:]
+        return tuple(float(x) for x in (last.min(), last.mean(), last.max()))
+
+    return forecasters.per_series_forecaster(fit, min_rows=HORIZON)(ws.trainval("coarse"), origins_of(ws))
+
+
 def cold_setup(ws):
     """Cold-start holdout of the fine panel at the end of train."""
     origin = ws.days()["train"]
@@ -422,13 +460,20 @@ def series_scale(ws):
 def leakage_audit(ws):
     panel, cold, cutoff, origin = cold_panel(ws)
     cold_rows = features.restrict_series(panel, cold)
-    candidates = training_data.training_panel(features.engineer_features(panel), origin)
+    candidates = training_data.training_panel(features.engineer_features(panel), origin).withColumn("held_out", held_out_windows(origin))
+    first_held = candidates.where("held_out").agg(F.min("target_day")).scalar()
+    known = panel.where(F.col("d_num") > origin - HORIZON).select("store_id", "item_id", "wm_yr_wk", "sell_price").distinct()
+    paid = demand.weekly_paid(ws.daily("fine").where(F.col("d_num") <= origin))
+    later = demand.prices_from(paid, demand.week_of(F.lit(origin))).withColumnRenamed("sell_price", "price_by_origin")
+    priced = known.where(F.col("wm_yr_wk") <= demand.week_of(F.lit(origin))).join(later, ["store_id", "item_id", "wm_yr_wk"], "left")
     windows = training_data.training_windows(cold_rows, min_encoder=1)
     naive = forecasters.seasonal_naive(panel, [origin])
     return training_data.leakage_audit({
         "cold_history_before_cutoff": (cold_rows, F.col("d_num") < cutoff),
         "cold_window_before_cutoff": (windows, F.col("encoder_start") < cutoff),
-        "target_past_origin": (candidates, F.col("d_num") + F.col("h") > origin),
+        "target_past_origin": (candidates, F.col("target_day") > origin),
+        "training_target_inside_held_out": (candidates.where("not held_out"), F.col("target_day") >= first_held),
+        "price_from_later_sales": (priced, ~F.col("sell_price").eqNullSafe(F.col("price_by_origin"))),
         "forecast_inside_history": (naive, F.col("d_num") <= F.col("origin")),
     })
 
@@ -446,19 +491,19 @@ def score_forecast(ws):
 
 @query
 def backtest_results(ws):
-    return backtest.run_backtest(ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse"))
+    return backtest.run_backtest(ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse"), trusted=True)
 
 
 @query
 def backtest_all_models(ws):
     """All three per-series models on every fine series and origin."""
-    return backtest.run_backtest(ws.trainval("fine"), backtest.FORECASTERS, origins_of(ws), segments(ws, "fine"))
+    return backtest.run_backtest(ws.trainval("fine"), backtest.FORECASTERS, origins_of(ws), segments(ws, "fine"), trusted=True)
 
 
 @query
 def backtest_summary(ws):
     return backtest.backtest_summary(
-        backtest.run_backtest(ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse"))
+        backtest.run_backtest(ws.trainval("coarse"), SQL_MODELS, origins_of(ws), segments(ws, "coarse"), trusted=True)
     )
 
 
@@ -466,11 +511,12 @@ def backtest_summary(ws):
 def model_comparison(ws):
     """An earlier report read back from CSV and extended by a second model."""
     panel, origins, segs = ws.trainval("coarse"), origins_of(ws), segments(ws, "coarse")
-    run = lambda name: backtest.run_backtest(panel, {name: SQL_MODELS[name]}, origins, segs)
+    run = lambda name: backtest.run_backtest(panel, {name: SQL_MODELS[name]}, origins, segs, trusted=True)
     path = tables.write_csv(run("seasonal_naive"), scratch_path(ws.spark, "naive_report"), single_file=True)
     earlier = tables.read_report(ws.spark, path)
     empty = earlier.select("model", "n_series", "wql", "mase").where("false")
-    return backtest.model_comparison(backtest.model_comparison(empty, earlier), run("trend_weekly"))
+    newest = max(origins)
+    return backtest.model_comparison(backtest.model_comparison(empty, earlier, newest), run("trend_weekly"), newest)
 
 
 def cold_scores(ws):
@@ -502,8 +548,7 @@ def coldstart_scores(ws):
 def global_backtest(ws):
     """The global model refitted at every origin, scored like the per-series models."""
     panel, origins = ws.trainval("coarse"), origins_of(ws)
-    engineered = features.engineer_features(panel)
-    forecast = backtest_global(engineered, origins).withColumn("model", F.lit("global"))
+    forecast = backtest_global(ws.coarse_features(), origins).withColumn("model", F.lit("global"))
     losses = backtest.forecast_losses(panel, forecast, origins)
     return backtest.results_by_segment(losses, segments(ws, "coarse"))
 
@@ -577,31 +622,38 @@ def block_origins(ws):
     return ws.days()["val"], ws.days()["test"]
 
 
-def sampled_trend(ws, origins):
-    chosen = ws.covered()
-    return features.restrict_series(forecasters.trend_weekly(ws.panel("coarse"), origins), chosen)
+def primary_trend(ws, origins):
+    """The trend model on every series it can forecast; at the first origin the cold series have too little history."""
+    visible = coldstart.truncate_coldstart_history(
+        ws.panel("coarse"), ws.cold("coarse", 0.2), coldstart.coldstart_cutoff_day(origins[0], visible_days=10))
+    return forecasters.trend_weekly(visible, origins)
 
 
 @query
 def blend_forecasts(ws):
     origins = list(block_origins(ws))
     return reshape.blend_forecasts(
-        sampled_trend(ws, origins), forecasters.seasonal_naive(ws.panel("coarse"), origins)
+        primary_trend(ws, origins), forecasters.seasonal_naive(ws.panel("coarse"), origins)
     )
 
 
+def _some_suffixed(forecast):
+    """Every other series as raw files name them, with the block at the end of the id."""
+    return forecast.withColumn("id", F.when(F.length("id") % 2 == 0, F.concat("id", F.lit("_evaluation"))).otherwise(F.col("id")))
+
+
 @query
 def forecast_wide(ws):
     origin = ws.days()["val"]
     naive = forecasters.seasonal_naive(ws.trainval("coarse"), [origin])
-    return reshape.forecast_wide(naive.withColumn("id", F.concat("id", F.lit("_evaluation"))), {origin: "validation"})
+    return reshape.forecast_wide(_some_suffixed(naive), {origin: "validation"})
 
 
 @query
 def submission_table(ws):
     origins = block_origins(ws)
     naive = forecasters.seasonal_naive(ws.panel("coarse"), list(origins))
-    return reports.submission_table(sampled_trend(ws, list(origins)), naive, origins)
+    return reports.submission_table(primary_trend(ws, list(origins)), naive, origins)
 
 
 @query

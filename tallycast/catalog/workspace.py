@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallycast.functions.names import HORIZON
 from tallycast.operators.coldstart import coldstart_cutoff_day, coldstart_sample
 from tallycast.operators.global_forecast import GlobalModel, fit_global, forecast_global, load_global, save_global
-from tallycast.operators.features import engineer_features
+from tallycast.operators.features import add_lag_features, engineer_features
 from tallycast.operators.ingest import build_panel
+from tallycast.operators.metrics import volume_segment
 from tallycast.operators.origins import last_day
 from tallycast.operators.reshape import future_rows
 from tallycast.operators.sampling import stratified_sample
 from tallycast.session import scratch_path
 from tallycast.sources import demand
-from tallycast.sources.tables import default_buckets, write_panel_table
+from tallycast.sources.tables import bucket_count, write_panel_table
 
 _written: dict[tuple, str] = {}
 
@@ -64,11 +65,14 @@ class Workspace:
 
         def write(path):
             table = path.rsplit("/", 1)[-1].replace("-", "_")
-            write_panel_table(self.build(grain), table, path, default_buckets(self.spark))
+            write_panel_table(self.build(grain), table, path, self.buckets(grain))
             return table
 
         return self.spark.table(self._once(f"panel_{grain}", write))
 
+    def buckets(self, grain: str) -> int:
+        return bucket_count(self.daily(grain).select("id").distinct().count(), self.days()["test"])
+
     def trainval(self, grain: str) -> DataFrame:
         return self.panel(grain).where("split <> 'test'")
 
@@ -84,15 +88,15 @@ class Workspace:
         return self.panel(grain).unionByName(ahead.withColumn("split", F.lit("future")))
 
     def engineered(self) -> DataFrame:
-        """Features of the global model's population, from the first day to the end of the known covariates.
+        """Features and lags of every series, from the first day to the end of the known covariates.
 
         Features only look back, so the rows up to any origin are the same as if later rows did not exist.
         """
 
         def write(path):
-            rows = engineer_features(self.with_future("fine"), ids=self.population())
+            rows = add_lag_features(engineer_features(self.with_future("fine")))
             table = path.rsplit("/", 1)[-1].replace("-", "_")
-            write_panel_table(rows, table, path, default_buckets(self.spark))
+            write_panel_table(rows, table, path, self.buckets("fine"))
             return table
 
         return self.spark.table(self._once("engineered", write))
@@ -106,14 +110,23 @@ class Workspace:
 
         return self.spark.read.parquet(self._once(name, write))
 
-    def population(self) -> DataFrame:
-        """The series the global model covers: up to 2000, stratified by category."""
+    def fit_series(self) -> DataFrame:
+        """The series whose windows the global model is fitted on: up to 2000, stratified by category. It forecasts all."""
         train = self.panel("fine").where("split = 'train'")
-        return self._sample("population", lambda: stratified_sample(train, 2000, 43))
+        return self._sample("fit_series", lambda: stratified_sample(train, 2000, 43))
+
+    def dozen(self) -> DataFrame:
+        """A given set of series: a stratified dozen."""
+        return self._sample("dozen", lambda: stratified_sample(self.panel("coarse"), 12, 42))
 
-    def covered(self) -> DataFrame:
-        """The series a second model covers in the blended submission: a stratified dozen."""
-        return self._sample("covered", lambda: stratified_sample(self.panel("coarse"), 12, 42))
+    def coarse_features(self) -> DataFrame:
+        """Features and lags of the coarse panel up to the end of val, written once for every origin that reads them."""
+        return self._sample("coarse_features", lambda: add_lag_features(engineer_features(self.trainval("coarse"))))
+
+    def segments(self, grain: str) -> DataFrame:
+        """The volume segment of every series, from the train days."""
+        train = self.panel(grain).where("split = 'train'")
+        return self._sample(f"segments_{grain}", lambda: volume_segment(train, self.days()["train"]))
 
     def cold(self, grain: str, frac: float) -> DataFrame:
         """The cold-start holdout."""
@@ -124,7 +137,7 @@ class Workspace:
         """The global model at the end of train: fitted once, then loaded wherever it is needed."""
 
         def write(path):
-            save_global(fit_global(self.engineered(), self.days()["train"]), path)
+            save_global(fit_global(self.engineered(), self.days()["train"], fit_ids=self.fit_series()), path)
             return path
 
         return load_global(self.spark, self._once("global_model", write))
@@ -134,11 +147,11 @@ class Workspace:
 
         def write(path):
             origin = self.days()["train"]
-            engineered = engineer_features(
-                self.trainval("fine"), ids=self.population(), cold_ids=self.cold("fine", 0.05),
-                cutoff_day=coldstart_cutoff_day(origin),
+            chain = engineer_features(
+                self.trainval("fine"), cold_ids=self.cold("fine", 0.05), cutoff_day=coldstart_cutoff_day(origin),
             )
-            model = fit_global(engineered, origin, use_lags=False)
+            engineered = self._sample("cold_features", lambda: chain)
+            model = fit_global(engineered, origin, use_lags=False, fit_ids=self.fit_series())
             forecast_global(model, engineered, origin).write.parquet(path)
             return path
 

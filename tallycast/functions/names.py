@@ -31,11 +31,6 @@ HOLDING_RATE = 0.20  # of the unit price, per year
 HIGH_VOLUME_LEVEL = 0.8
 
 
-def published_name(level: float) -> str:
-    """Name of a quantile column in written forecasts, such as ``q0.9``."""
-    return f"q{level}"
-
-
 def rolling_feature_names(windows=ROLLING_WINDOWS) -> list[str]:
     return [f"rolling_{stat}_{w}" for w in windows for stat in ("mean", "std")]
 

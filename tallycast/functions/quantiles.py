@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallycast.functions.names import QUANTILES
@@ -18,26 +20,28 @@ def nearest_of_sorted(values: Column, level: float) -> Column:
 
 
 def exact_quantile(df: DataFrame, value: str, level: float, accuracy: int = 100_000) -> DataFrame:
-    """One row ``threshold``: the exact nearest-rank quantile of a column over all rows.
+    """One row ``threshold``: the exact nearest-rank quantile of a column over all rows, NULL without values.
 
-    A sketch brackets the answer first (its rank error is at most 1/accuracy), equal values are
-    counted map-side, and only the distinct values inside the bracket are ranked. Neither the driver
-    nor one task ever sees the whole column.
+    The number of values gives the wanted rank. A sketch brackets the ranks next to it by its own error, equal
+    values are counted map-side, and only the distinct values inside the bracket are ranked. Should the rank fall outside the
+    bracket, the query fails instead of giving a neighbour. Neither the driver nor one task ever sees the whole column.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    # The sketch ranks rows, so it reads the column itself, not the distinct values.
-    slack = 2.0 / accuracy
-    lo, hi = max(level - slack, 0.0), min(level + slack, 1.0)
-    bracket = df.agg(
-        F.percentile_approx(value, lo, accuracy).alias("lo"),
-        F.percentile_approx(value, hi, accuracy).alias("hi"),
-        F.count(value).alias("n"),
-    )
-    lo_s, hi_s, n_s = (bracket.select(c).scalar() for c in ("lo", "hi", "n"))
-    below = counts.where(F.col("v") < lo_s).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("b"))
-    inside = counts.where(F.col("v").between(lo_s, hi_s))
-    ranked = inside.withColumn("reach", F.sum("c").over(W.orderBy("v")) + below.scalar())
-    return ranked.where(F.col("reach") >= nearest_rank(n_s, level)).agg(F.min("v").alias("threshold"))
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    n = known.agg(F.count(F.lit(1))).first()[0]
+    if n == 0:
+        return known.agg(F.min("v").alias("threshold"))
+    rank = math.floor((n - 1) * level + 0.5) + 1
+    error = 2.0 / accuracy
+    low, high = max((rank - 1) / n - error, 0.0), min((rank + 1) / n + error, 1.0)
+    ends = known.agg(F.percentile_approx("v", [low, high], accuracy).alias("ends"))
+    low_value, high_value = ends.select(F.col("ends")[0]).scalar(), ends.select(F.col("ends")[1]).scalar()
+    counts = known.where(F.col("v") <= high_value).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    below = counts.where(F.col("v") < low_value).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("b")).scalar()
+    inside = counts.where(F.col("v") >= low_value).withColumn("reach", F.sum("c").over(W.orderBy("v")))
+    found = inside.agg(
+        F.min(F.when(F.col("reach") + below >= rank, F.col("v"))).alias("threshold"), F.first(below).alias("below"))
+    missed = F.col("threshold").isNull() | (F.col("below") >= rank)
+    return found.select(F.when(missed, F.raise_error(F.lit("the rank lies outside the bracket"))).otherwise(F.col("threshold")).alias("threshold"))
 
 
 def repair_quantiles(df: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ from tallycast.operators.forecasters import FORECAST_COLUMNS
 from tallycast.operators.training_data import horizon_rows, training_panel
 from tallycast.session import use_checkpoints
 
-# Known in advance for the target day as well: calendar and price.
-AHEAD_REALS = ["wday", "month", "snap", "sell_price", "price_change_flag"]
+# Covariates of the target day that a caller may add: all of them come from the calendar alone.
+AHEAD_REALS = ["wday", "month", "snap"]
 AHEAD_CATEGORICALS = ["event_name_1", "event_type_1"]
 MISSING = -1.0
 
@@ -33,24 +33,43 @@ class GlobalModel:
     bands: DataFrame
     use_lags: bool
     horizon: int
+    use_ahead: bool = False
 
 
-def _categoricals() -> list[str]:
-    return [*STATIC_CATEGORICALS, *CALENDAR_CATEGORICALS, *[f"t_{c}" for c in AHEAD_CATEGORICALS]]
+def _categoricals(use_ahead: bool) -> list[str]:
+    return [*STATIC_CATEGORICALS, *CALENDAR_CATEGORICALS, *([f"t_{c}" for c in AHEAD_CATEGORICALS] if use_ahead else [])]
 
 
-def _numerics(use_lags: bool) -> list[str]:
+def _numerics(use_lags: bool, use_ahead: bool) -> list[str]:
     own = [*CALENDAR_REALS, *PRICE_REALS, "coldstart_flag", *rolling_feature_names(), "h"]
-    return own + [f"t_{c}" for c in AHEAD_REALS] + (["lag_7", "lag_28"] if use_lags else [])
+    return own + ([f"t_{c}" for c in AHEAD_REALS] if use_ahead else []) + (["lag_7", "lag_28"] if use_lags else [])
 
 
-def _prepared(rows: DataFrame, use_lags: bool) -> DataFrame:
+def _prepared(rows: DataFrame, use_lags: bool, use_ahead: bool) -> DataFrame:
     """Trees split on values, so a missing number becomes one of its own."""
-    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in _numerics(use_lags)})
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in _numerics(use_lags, use_ahead)})
 
 
 def _with_lags(engineered: DataFrame, use_lags: bool) -> DataFrame:
-    return add_lag_features(engineered) if use_lags else engineered
+    """The target lags; a table that stores them already is left as it is, so that a day filter reaches its scan."""
+    return add_lag_features(engineered) if use_lags and "lag_7" not in engineered.columns else engineered
+
+
+def _ahead(use_ahead: bool) -> tuple[str, ...]:
+    return tuple(AHEAD_REALS + AHEAD_CATEGORICALS) if use_ahead else ()
+
+
+def residual_bands(residuals: DataFrame, *keys: str) -> DataFrame:
+    """The 0.1 and 0.9 quantiles ``low`` and ``high`` of the column ``residual`` per group."""
+    bands = residuals.groupBy(*keys).agg(F.percentile_approx("residual", [0.1, 0.9], 10_000).alias("band"))
+    return bands.select(*keys, F.col("band")[0].alias("low"), F.col("band")[1].alias("high"))
+
+
+def predict_rows(engineered: DataFrame, origin_day: int, horizon: int = HORIZON, use_ahead: bool = False, use_lags: bool = True) -> DataFrame:
+    """One row per series and step from the features of the origin day; sales after the origin are hidden."""
+    blind = engineered.withColumn("sales", F.when(F.col("d_num") <= origin_day, F.col("sales")))
+    recent = _with_lags(blind, use_lags).where(F.col("d_num").between(origin_day, origin_day + horizon))
+    return horizon_rows(recent, horizon, _ahead(use_ahead), keep_unknown=True, where=F.col("d_num") == origin_day)
 
 
 def _noise_scale() -> Column:
@@ -58,38 +77,35 @@ def _noise_scale() -> Column:
     return F.sqrt(F.greatest(F.col("rolling_mean_28"), F.lit(0.0)) + 1)
 
 
-def _week_of_horizon() -> Column:
-    return F.floor((F.col("h") - 1) / 7).cast("int")
-
-
 def fit_global(
     engineered: DataFrame, origin_day: int, horizon: int = HORIZON, stride: int = 7, lookback_days: int = 180,
-    use_lags: bool = True, trees: int = 20, depth: int = 5, learning_rate: float = 0.2, seed: int = 42,
+    use_lags: bool = True, trees: int = 200, depth: int = 5, learning_rate: float = 0.05, seed: int = 42,
+    use_ahead: bool = False, fit_ids: DataFrame | None = None,
 ) -> GlobalModel:
-    """Train on the candidate origins up to ``origin_day``.
+    """Train on the candidate origins up to ``origin_day``, of all series or of the bounded sample ``fit_ids``.
 
-    The last candidate windows are held out: they stop the boosting early and give the residual
-    quantiles per week of the horizon. Nothing after ``origin_day`` is read.
+    The last candidate windows are held out: they stop the boosting early and give the residual quantiles per
+    step of the horizon and volume segment. All their targets lie after every target that is trained on; windows that would
+    overlap both are left out. Nothing after ``origin_day`` is read. Only features of the candidate day enter, unless
+    ``use_ahead`` adds the calendar of the target day.
     """
     use_checkpoints(engineered.sparkSession)
-    visible = _with_lags(engineered.where(F.col("d_num") <= origin_day), use_lags)
-    panel = training_panel(
-        visible, origin_day, horizon, stride, lookback_days, tuple(AHEAD_REALS + AHEAD_CATEGORICALS)
-    )
-    held_out = F.col("d_num") > origin_day - 2 * horizon
-    rows = _prepared(panel, use_lags).withColumn("held_out", held_out)
-    categoricals = _categoricals()
+    chosen = engineered if fit_ids is None else engineered.join(fit_ids.select("id"), "id", "left_semi")
+    visible = _with_lags(chosen.where(F.col("d_num") <= origin_day), use_lags)
+    panel = training_panel(visible, origin_day, horizon, stride, lookback_days, _ahead(use_ahead))
+    rows = _prepared(panel, use_lags, use_ahead).withColumn("held_out", held_out_windows(origin_day, horizon)).where("held_out is not null")
+    categoricals = _categoricals(use_ahead)
     codes = [f"{c}_code" for c in categoricals]
     features = Pipeline(
         stages=[
             StringIndexer(inputCols=categoricals, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
-            VectorAssembler(inputCols=codes + _numerics(use_lags), outputCol="features"),
+            VectorAssembler(inputCols=codes + _numerics(use_lags, use_ahead), outputCol="features"),
         ]
-    ).fit(rows)
+    ).fit(_prepared(_history_rows(visible, use_ahead), use_lags, use_ahead))
     # Every boosting round reads the assembled rows again, so they are written once to the shared folder.
     assembled = (
         features.transform(rows)
-        .select("features", F.col("target").cast("double").alias("target"), "h", "rolling_mean_28", "held_out")
+        .select("features", F.col("target").cast("double").alias("target"), "h", "id", "rolling_mean_28", "held_out")
         .checkpoint()
     )
     most_values = max(len(labels) for labels in features.stages[0].labelsArray) + 1
@@ -99,13 +115,26 @@ def fit_global(
         validationIndicatorCol="held_out", checkpointInterval=5,
     ).fit(assembled)
     scaled = (F.col("target") - F.col("point")) / _noise_scale()
-    bands = (
-        trees_model.transform(assembled.where("held_out"))
-        .groupBy(_week_of_horizon().alias("week"))
-        .agg(F.percentile_approx(scaled, [0.1, 0.9], 10_000).alias("band"))
-        .select("week", F.col("band")[0].alias("low"), F.col("band")[1].alias("high"))
-    )
-    return GlobalModel(PipelineModel(features.stages + [trees_model]), bands.checkpoint(), use_lags, horizon)
+    judged = trees_model.transform(assembled.where("held_out")).withColumn("residual", scaled)
+    bands = residual_bands(judged.withColumn("segment", _busy()), "h", "segment")
+    return GlobalModel(PipelineModel(features.stages + [trees_model]), bands.checkpoint(), use_lags, horizon, use_ahead)
+
+
+def held_out_windows(origin_day: int, horizon: int = HORIZON) -> Column:
+    """True for the windows after two horizons before the origin, false for those a horizon earlier, NULL between."""
+    day = F.col("d_num")
+    return F.when(day > origin_day - 2 * horizon, True).when(day <= origin_day - 3 * horizon, False)
+
+
+def _history_rows(visible: DataFrame, use_ahead: bool) -> DataFrame:
+    """Rows on which the categories are indexed: each history row once, its own day standing for a target day."""
+    ahead = {f"t_{c}": F.col(c) for c in _ahead(use_ahead)}
+    return visible.withColumns({**ahead, "h": F.lit(1)})
+
+
+def _busy() -> Column:
+    """The volume segment as known on the origin day: more or less than one unit a day over the last 28 rows."""
+    return F.when(F.coalesce("rolling_mean_28", F.lit(0.0)) >= 1, "high_volume").otherwise("long_tail")
 
 
 def forecast_global(model: GlobalModel, engineered: DataFrame, origin_day: int) -> DataFrame:
@@ -114,17 +143,10 @@ def forecast_global(model: GlobalModel, engineered: DataFrame, origin_day: int)
     ``engineered`` must reach ``horizon`` rows past the origin with known covariates; sales there are
     ignored, and unknown values of a category fall into its unknown bucket.
     """
-    blind = engineered.withColumn("sales", F.when(F.col("d_num") <= origin_day, F.col("sales")))
-    recent = _with_lags(blind, model.use_lags).where(
-        F.col("d_num").between(origin_day, origin_day + model.horizon)
-    )
-    rows = horizon_rows(
-        recent, model.horizon, tuple(AHEAD_REALS + AHEAD_CATEGORICALS), keep_unknown=True,
-        where=F.col("d_num") == origin_day,
-    )
-    predicted = model.pipeline.transform(_prepared(rows, model.use_lags)).withColumn("week", _week_of_horizon())
-    # The bands have one row per week of the horizon, so this side is broadcast by its definition.
-    banded = predicted.join(F.broadcast(model.bands), "week", "left")
+    rows = predict_rows(engineered, origin_day, model.horizon, model.use_ahead, model.use_lags)
+    predicted = model.pipeline.transform(_prepared(rows, model.use_lags, model.use_ahead)).withColumn("segment", _busy())
+    # The bands have two rows per step of the horizon, so this side is broadcast by its definition.
+    banded = predicted.join(F.broadcast(model.bands), ["h", "segment"], "left")
     raw = banded.select(
         F.lit(origin_day).cast("long").alias("origin"),
         "id",
@@ -137,7 +159,7 @@ def forecast_global(model: GlobalModel, engineered: DataFrame, origin_day: int)
 
 
 def backtest_global(engineered: DataFrame, origins: list[int], **settings) -> DataFrame:
-    """Forecasts of all origins, refitting at each: a model never sees a row after its own origin.
+    """``engineered`` should be a written table, for every origin reads it. Forecasts of all origins, refitting at each: a model never sees a row after its own origin.
 
     The loop over origins only submits one distributed fit after the other; its length is the number of origins.
     """

@@ -41,7 +41,11 @@ def drop_pre_release(panel: DataFrame) -> DataFrame:
 
 def pre_release_stats(panel: DataFrame) -> DataFrame:
     """How many rows the release filter keeps and drops, from one aggregate over the unfiltered panel."""
-    counts = panel.agg(F.count(F.lit(1)).alias("rows_before"), F.count("sell_price").alias("rows_after"))
+    return release_report(panel.agg(F.count(F.lit(1)).alias("rows_before"), F.count("sell_price").alias("rows_after")))
+
+
+def release_report(counts: DataFrame) -> DataFrame:
+    """The same table from the two counts ``rows_before`` and ``rows_after``."""
     dropped = F.col("rows_before") - F.col("rows_after")
     return counts.select(
         "rows_before",

@@ -10,20 +10,19 @@ from tallycast.functions.names import EVENT_COLUMNS, HORIZON, ID_COLUMNS
 def forecast_wide(forecast: DataFrame, blocks: dict[int, str], horizon: int = HORIZON) -> DataFrame:
     """One row per series and block with the median of each day as F1, F2, ...
 
-    ``blocks`` names the forecast origins to show and the suffix each puts in place of ``_evaluation`` at
-    the end of the id. All blocks share one aggregation.
+    ``blocks`` names the forecast origins to show. The name ends the id; an id that already ends in a
+    block name changes it. All blocks share one aggregation.
     """
-    suffix = F.lit(None).cast("string")
+    names = "|".join(sorted({*blocks.values(), "evaluation", "validation"}))
+    series = F.regexp_replace("id", f"_({names})$", "")
+    block = F.lit(None).cast("string")
     for origin, name in blocks.items():
-        suffix = F.when(F.col("origin") == origin, F.lit(f"_{name}")).otherwise(suffix)
+        block = F.when(F.col("origin") == origin, F.lit(name)).otherwise(block)
     shown = forecast.where(F.col("origin").isin(*blocks)).select(
-        F.regexp_replace("id", F.lit("_evaluation$"), suffix).alias("id"),
-        (F.col("d_num") - F.col("origin")).alias("step"),
-        "q50",
-    )
-    return shown.groupBy("id").agg(
-        *[F.max(F.when(F.col("step") == i, F.col("q50"))).alias(f"F{i}") for i in range(1, horizon + 1)]
+        "origin", F.concat_ws("_", series, block).alias("id"), (F.col("d_num") - F.col("origin")).alias("step"), "q50"
     )
+    steps = [F.max(F.when(F.col("step") == i, F.col("q50"))).alias(f"F{i}") for i in range(1, horizon + 1)]
+    return shown.groupBy("origin", "id").agg(*steps).drop("origin")
 
 
 def future_rows(panel: DataFrame, calendar: DataFrame, prices: DataFrame, first_day: int, last_day: int) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallycast.functions.names import HORIZON
+from tallycast.functions.names import HORIZON, QUANTILES
 from tallycast.operators.forecasters import Forecaster, seasonal_naive, trend_weekly
 from tallycast.operators.holt_winters import holt_winters
 from tallycast.operators.metrics import mase_scale_as_of, score_columns, score_join, series_losses, with_mase
@@ -26,7 +26,29 @@ def backtest_losses(
     forecasts = [
         forecaster(history, origins, horizon).withColumn("model", F.lit(name)) for name, forecaster in models.items()
     ]
-    return forecast_losses(panel, reduce(DataFrame.unionByName, forecasts), origins, horizon)
+    forecast = reduce(DataFrame.unionByName, forecasts)
+    return forecast_losses(panel, inside_horizon(forecast, origins, horizon), origins, horizon)
+
+
+def inside_horizon(forecast: DataFrame, origins: list[int], horizon: int = HORIZON) -> DataFrame:
+    """The forecast itself; the query fails at a row whose day is not one of the ``horizon`` days after a given origin."""
+    step = F.col("d_num") - F.col("origin")
+    fine = F.coalesce(F.col("origin").isin(*origins) & step.between(1, horizon), F.lit(False))
+    refused = F.raise_error(F.lit("a forecast for a day that is not after its origin and within the horizon"))
+    return forecast.withColumn("d_num", F.when(fine, F.col("d_num")).otherwise(refused.cast("long")).cast(forecast.schema["d_num"].dataType))
+
+
+def require_blind(panel: DataFrame, models: dict[str, Forecaster], origins: list[int], horizon: int = HORIZON) -> None:
+    """Raise if a forecaster's rows for the first origin change once later days are taken out of its history."""
+    first = min(origins)
+    history = panel.select("id", "d_num", "sales").where(F.col("d_num") <= max(origins))
+    for name, forecaster in models.items():
+        whole = forecaster(history, origins, horizon).where(F.col("origin") == first)
+        blind = forecaster(history.where(F.col("d_num") <= first), [first], horizon)
+        columns = ["id", "d_num", *[F.round(q, 6).alias(q) for q in QUANTILES]]
+        changed = whole.select(*columns).exceptAll(blind.select(*columns))
+        if whole.count() != blind.count() or not changed.isEmpty():
+            raise ValueError(f"{name} reads days after its origin")
 
 
 def forecast_losses(panel: DataFrame, forecast: DataFrame, origins: list[int], horizon: int = HORIZON) -> DataFrame:
@@ -51,8 +73,12 @@ def results_by_segment(losses: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def run_backtest(
-    panel: DataFrame, models: dict[str, Forecaster], origins: list[int], segments: DataFrame, horizon: int = HORIZON
+    panel: DataFrame, models: dict[str, Forecaster], origins: list[int], segments: DataFrame, horizon: int = HORIZON,
+    trusted: bool = False,
 ) -> DataFrame:
+    """Scores of forecasters that are checked first to see no day after their origin, unless they are ``trusted``."""
+    if not trusted:
+        require_blind(panel, models, origins, horizon)
     return results_by_segment(backtest_losses(panel, models, origins, horizon), segments)
 
 
@@ -104,8 +130,7 @@ def coldstart_comparison(scores: DataFrame) -> DataFrame:
     return rows.groupBy("model", "origin", "metric").pivot("segment", names).agg(F.first("value"))
 
 
-def model_comparison(earlier: DataFrame, results: DataFrame) -> DataFrame:
-    """An earlier comparison table extended by the overall rows of new models at the newest origin."""
-    newest = results.agg(F.max("origin")).scalar()
-    overall = results.where((F.col("segment") == "overall") & (F.col("origin") == newest))
+def model_comparison(earlier: DataFrame, results: DataFrame, origin: int) -> DataFrame:
+    """An earlier comparison table extended by the overall rows of new models at one origin."""
+    overall = results.where((F.col("segment") == "overall") & (F.col("origin") == origin))
     return earlier.unionByName(overall.select("model", "n_series", "wql", "mase"))

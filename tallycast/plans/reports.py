@@ -32,5 +32,4 @@ def series_picker(report: DataFrame, cold_only: bool = False, category: str | No
 
 def submission_table(primary: DataFrame, fallback: DataFrame, origins: tuple[int, int], horizon: int = HORIZON) -> DataFrame:
     """Two consecutive blocks of median forecasts for every series, anchored on the ends of val and test."""
-    blend = blend_forecasts(primary, fallback).withColumn("id", F.concat("id", F.lit("_evaluation")))
-    return forecast_wide(blend, dict(zip(origins, ("validation", "evaluation"))), horizon)
+    return forecast_wide(blend_forecasts(primary, fallback), dict(zip(origins, ("validation", "evaluation"))), horizon)

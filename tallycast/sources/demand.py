@@ -40,18 +40,14 @@ def _as_daily(sums: DataFrame) -> DataFrame:
 def daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and cents sold per item group, nation and day, only for days with a sale.
 
-    The lines are summed per part, supplier and day before they meet the dimension tables, and per item
-    group, supplier and day before the second join. A part with a third of all lines therefore enters
-    its join with at most suppliers x days rows, a supplier with at most item groups x days.
+    Lines meet both dimensions first: by broadcast where a dimension is under the broadcast threshold, else by
+    joins that adaptive execution splits at a hot part or supplier. One aggregation follows, whose sums per
+    series and day are combined before its shuffle; lines of a part and supplier on one day are too few to sum earlier.
     """
     day = F.datediff(F.col("l_shipdate"), F.lit(EPOCH)).alias("d_num")
     units = F.col("l_quantity").cast("long")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    lines = (
-        _table(spark, sf_dir, "lineitem")
-        .groupBy("l_partkey", "l_suppkey", day)
-        .agg(F.sum(units).alias("sales"), F.sum(cents).alias("cents"))
-    )
+    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", day, units.alias("sales"), cents.alias("cents"))
     item = F.concat_ws("_", "p_type", F.ceil(F.col("p_size") / 25).cast("string"))
     parts = _table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), item.alias("item_id"), F.col("p_type").alias("cat_id")
@@ -63,8 +59,7 @@ def daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("store_id"), "r_name")
     )
     sums = [F.sum("sales").alias("sales"), F.sum("cents").alias("cents")]
-    by_item = lines.join(parts, "l_partkey").groupBy("item_id", "cat_id", "l_suppkey", "d_num").agg(*sums)
-    return _as_daily(by_item.join(places, "l_suppkey").groupBy(*_SERIES, "d_num").agg(*sums))
+    return _as_daily(lines.join(parts, "l_partkey").join(places, "l_suppkey").groupBy(*_SERIES, "d_num").agg(*sums))
 
 
 def coarse_demand(daily: DataFrame) -> DataFrame:
@@ -128,32 +123,39 @@ def calendar_dim(daily: DataFrame, ahead: int = HORIZON) -> DataFrame:
 
 
 def sell_prices(daily: DataFrame, ahead: int = HORIZON) -> DataFrame:
-    """Weekly price per store and item from the first week with a sale on; weeks without one keep the last price."""
-    weekly = (
-        daily.groupBy("store_id", "item_id", week_of(F.col("d_num")).alias("wm_yr_wk"))
-        .agg(F.sum("cents").alias("cents"), F.sum("sales").alias("units"))
-        .select("store_id", "item_id", "wm_yr_wk", F.expr("cents div units / 100.0D").alias("paid"))
-    )
-    by_item = W.partitionBy("store_id", "item_id").orderBy("wm_yr_wk")
+    """Weekly price per store and item: what was paid on average in the latest earlier week with a sale.
+
+    A week's own sales never enter its price, so prices up to a week past any day are known on that day. The
+    first price stands in the week after the first sale.
+    """
     last_day = daily.agg(F.max("d_num")).scalar()
-    # Each observed week covers the weeks up to the next observed one, so no week grid has to be joined.
-    spans = weekly.withColumn("next_week", F.lead("wm_yr_wk").over(by_item)).withColumn(
-        "last_week", week_of(last_day + ahead)
-    )
-    return spans.select(
+    return prices_from(weekly_paid(daily), week_of(last_day + ahead))
+
+
+def weekly_paid(daily: DataFrame) -> DataFrame:
+    """What a unit cost on average in every week with a sale."""
+    sums = daily.groupBy("store_id", "item_id", week_of(F.col("d_num")).alias("wm_yr_wk")).agg(
+        F.sum("cents").alias("cents"), F.sum("sales").alias("units"))
+    return sums.select("store_id", "item_id", "wm_yr_wk", F.expr("cents div units / 100.0D").alias("paid"))
+
+
+def prices_from(weekly: DataFrame, last_week: Column) -> DataFrame:
+    """Prices of every week after the first paid one, up to ``last_week``."""
+    by_item = W.partitionBy("store_id", "item_id").orderBy("wm_yr_wk")
+    # Each observed week prices the weeks after it, up to and with the next observed one, so no week grid has to be joined.
+    spans = weekly.withColumn("next_week", F.lead("wm_yr_wk").over(by_item)).withColumn("last_week", last_week)
+    until = F.coalesce("next_week", "last_week")
+    return spans.where(F.col("wm_yr_wk") < until).select(
         "store_id",
         "item_id",
-        F.explode(
-            F.sequence("wm_yr_wk", F.coalesce(F.col("next_week") - 1, F.col("last_week")))
-        ).alias("wm_yr_wk"),
+        F.explode(F.sequence(F.col("wm_yr_wk") + 1, until)).alias("wm_yr_wk"),
         F.col("paid").alias("sell_price"),
     )
 
 
 def sales_wide(panel: DataFrame, last_day: int) -> DataFrame:
-    """One row per series and one column per day. The column list is given, so no extra job looks for it."""
-    return (
-        panel.groupBy(*ID_COLUMNS)
-        .pivot("d", [f"d_{n}" for n in range(1, last_day + 1)])
-        .agg(F.first("sales"))
-    )
+    """One row per series and one column per day, read out of one array per series; ``panel`` has every day of it."""
+    days = panel.groupBy(*ID_COLUMNS).agg(F.sort_array(F.collect_list(F.struct("d_num", "sales"))).alias("days"))
+    # The generator keeps the array from being built again for every column.
+    packed = days.select(*ID_COLUMNS, F.explode(F.array(F.col("days.sales"))).alias("line"))
+    return packed.select(*ID_COLUMNS, *[F.col("line")[n - 1].alias(f"d_{n}") for n in range(1, last_day + 1)])

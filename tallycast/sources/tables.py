@@ -116,10 +116,9 @@ def write_panel_table(panel: DataFrame, table: str, path: str, buckets: int) ->
     return panel.sparkSession.table(table)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """Enough buckets to keep every core busy twice, never more than the session's shuffle partitions."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
+def bucket_count(series: int, days: int, rows_per_bucket: int = 2_000_000) -> int:
+    """Buckets of about the given number of rows, so their size does not grow with the panel; at least eight."""
+    return max(8, -(-series * days // rows_per_bucket))
 
 
 def load_panel(

@@ -194,3 +194,47 @@ def test_backtest_over_a_bucketed_panel_shuffles_no_history(spark):
         assert losses.count() == 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("level", [0.1, 0.5, 0.8, 0.9])
+def test_exact_quantile_at_every_small_size(spark, level):
+    """Sizes 1 to 60, those with a remainder of 4 by five among them, against the plain rank."""
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 16), 19, 24, 29, 34, 44, 54, 59, 60]:
+        values = rng.permutation(n).astype(float)
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").coalesce(1)
+        assert exact_quantile(df, "v", level).first().threshold == math.floor((n - 1) * level + 0.5)
+
+
+def test_exact_quantile_of_nothing(spark):
+    assert exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.8).first().threshold is None
+
+
+def test_a_forecaster_that_looks_ahead_is_refused(spark):
+    data = panel(spark, A=list(range(40)), B=list(range(40, 0, -1)))
+
+    def peeking(history, origins, horizon=28):
+        latest = history.groupBy("id").agg(F.max("sales").cast("double").alias("q50"))
+        return forecasters.horizon_grid(latest.withColumn("origin", F.explode(F.array(*map(F.lit, origins)))), horizon).select(
+            F.col("origin").cast("long").alias("origin"), "id", F.col("d_num").cast("long").alias("d_num"),
+            F.col("q50").alias("q10"), "q50", F.col("q50").alias("q90"))
+
+    segs = spark.createDataFrame([("A", "long_tail"), ("B", "long_tail")], "id string, volume_segment string")
+    with pytest.raises(ValueError, match="reads days after its origin"):
+        backtest.run_backtest(data, {"peeking": peeking}, [20, 30], segs, 5)
+
+
+def test_a_forecast_for_a_day_up_to_its_origin_is_refused(spark):
+    early = spark.createDataFrame([(20, "A", 20, 1.0, 1.0, 1.0)], "origin long, id string, d_num long, q10 double, q50 double, q90 double")
+    with pytest.raises(Exception, match="not after its origin"):
+        backtest.inside_horizon(early, [20], 5).collect()
+
+
+def test_wide_blocks_with_and_without_suffix(spark):
+    from tallycast.operators.reshape import forecast_wide
+
+    rows = [(o, name, o + 1, 0.0, float(o), 9.0) for o in (10, 20) for name in ("A", "B_evaluation", "C_validation")]
+    wide = forecast_wide(
+        spark.createDataFrame(rows, "origin long, id string, d_num long, q10 double, q50 double, q90 double"), {10: "validation", 20: "evaluation"}, 1)
+    assert sorted(map(tuple, wide.collect())) == sorted(
+        (f"{name}_{block}", value) for name in "ABC" for block, value in (("validation", 10.0), ("evaluation", 20.0)))

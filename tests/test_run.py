@@ -23,7 +23,7 @@ def test_raw_tables_to_reports(spark, sf_dir):
     assert {r.split: r.n_series for r in read("split_profile").collect()} == {"train": 30, "val": 30, "test": 30}
     assert read("backtest_results").count() == 45
     assert {r.model for r in read("model_comparison").collect()} == {
-        "seasonal_naive", "trend_weekly", "holt_winters", "global"
+        "seasonal_naive", "trend_weekly", "holt_winters", "global", "global_coldstart"
     }
     submission = read("submission")
     assert submission.count() == 60 and len(submission.columns) == 29

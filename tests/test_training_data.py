@@ -119,3 +119,31 @@ def test_cold_series_get_a_forecast_without_lags(spark):
     )
     model = fit_global(engineered, 122, use_lags=False, trees=3, depth=2)
     assert forecast_global(model, engineered, 122).where("id = 'S1'").count() == 28
+
+
+def test_held_out_targets_lie_after_all_training_targets(spark):
+    from tallycast.operators.global_forecast import held_out_windows
+
+    days = spark.range(1, 200).select(F.col("id").cast("int").alias("d_num")).withColumn("held", held_out_windows(180)).where("d_num <= 152")
+    first_held = days.where("held").agg(F.min("d_num")).first()[0] + 1
+    last_trained = days.where("not held").agg(F.max("d_num")).first()[0] + 28
+    assert last_trained < first_held
+
+
+def test_prices_know_no_sales_of_their_own_week_or_later(spark):
+    from tallycast.sources import demand
+
+    rows = [("a", "x", day, 2, 100 * day) for day in (1, 3, 9, 17, 24)]
+    schema = "item_id string, store_id string, d_num int, sales long, cents long"
+    price = lambda rows: {(r.wm_yr_wk): r.sell_price for r in demand.sell_prices(spark.createDataFrame(rows, schema), 14).collect()}
+    before = price(rows)
+    altered = price([r if r[2] < 15 else (*r[:4], 7) for r in rows])
+    assert min(before) == 2 and {w: p for w, p in before.items() if w <= 3} == {w: p for w, p in altered.items() if w <= 3}
+    assert before[4] != altered[4]
+
+
+def test_every_series_is_forecast_though_few_are_fitted(spark):
+    engineered = features.engineer_features(global_panel(spark))
+    few = spark.createDataFrame([("S1",)], "id string")
+    model = fit_global(engineered, 122, trees=3, depth=2, fit_ids=few)
+    assert forecast_global(model, engineered, 122).select("id").distinct().count() == 2
