@@ -25,13 +25,14 @@ def held_out(id_column: str = "doc_id") -> Column:
 class Languages:
     """Suffix automata of all languages in one transition table, and the alphabet they share.
 
-    A state is the offset of its row; a negative entry ``~row`` means that a new phrase begins with this symbol.
+    A state is the offset of its row; a negative entry ``~row`` means that a new phrase begins with this symbol. From
+    ``starts``, the state before any text and after an unknown symbol, every symbol begins one.
     """
 
     names: list[str]
     letters: str
     table: np.ndarray
-    roots: np.ndarray
+    starts: np.ndarray
     sizes: np.ndarray
 
     def symbols(self, text: str) -> np.ndarray:
@@ -45,7 +46,7 @@ class Languages:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of greedy longest-match phrases per text (rows) and language (columns).
 
-        Texts are cut into segments of 1024 symbols, each parsed from the root; all segments and languages advance
+        Texts are cut into segments of 1024 symbols, each parsed on its own; all segments and languages advance
         together, one symbol a step, in NumPy.
         """
         owner, parts = [], []
@@ -62,8 +63,8 @@ class Languages:
         for lane, part in enumerate(order):
             grid[: lengths[part], lane] = parts[part]
         active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left")
-        state = np.repeat(self.roots[:, None], len(parts), axis=1).astype(np.int32)
-        found = np.ones(state.shape, dtype=np.int32)
+        state = np.repeat(self.starts[:, None], len(parts), axis=1).astype(np.int32)
+        found = np.zeros(state.shape, dtype=np.int32)
         for step, n in enumerate(active):
             now = self.table[state[:, :n] + grid[step, :n]]
             fresh = now < 0
@@ -147,7 +148,7 @@ def _languages(texts: dict[str, list[str]], quota: int) -> Languages:
     letters = "".join(sorted(sorted(tally, key=lambda c: (-tally[c], c))[:ALPHABET]))
     width = len(letters) + 2
     out = Languages(sorted(texts), letters, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.ones(0))
-    tables, roots, sizes, offset = [], [], [], 0
+    tables, starts, sizes, offset = [], [], [], 0
     for name in out.names:
         sample = np.concatenate([np.append(out.symbols(t), GAP) for t in texts[name]])[:quota]
         moves = suffix_automaton([int(s) if s != RARE else -1 for s in sample])
@@ -160,10 +161,10 @@ def _languages(texts: dict[str, list[str]], quota: int) -> Languages:
         begin = np.where(rows[0] >= 0, rows[0], unknown)
         places = np.where(rows >= 0, rows * width + offset, ~(begin * width + offset))
         tables.append(places.astype(np.int32).ravel())
-        roots.append(offset)
+        starts.append(offset + unknown * width)
         sizes.append(max(len(sample), 2))
         offset += places.size
-    out.table, out.roots, out.sizes = np.concatenate(tables), np.array(roots, dtype=np.int32), np.array(sizes, dtype=np.float64)
+    out.table, out.starts, out.sizes = np.concatenate(tables), np.array(starts, dtype=np.int32), np.array(sizes, dtype=np.float64)
     return out
 
 

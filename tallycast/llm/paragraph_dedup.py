@@ -206,14 +206,14 @@ def drop_repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_co
     zero = F.lit(0).cast("long")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = flagged.where(~F.col("marked")).select(*columns, count.alias("n_words"), zero.alias("n_removed"), zero.alias("n_spans"))
-    by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop", "fp")).alias("ranges")).withColumnRenamed("id", "__id")
+    by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop", "fp")).alias("__ranges")).withColumnRenamed("id", "__id")
     some = flagged.where("marked").join(by_doc, "__id", "left")
     return whole.unionByName(_without_ranges(some, docs, text_column))
 
 
 def _without_ranges(some: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("others")
-    carried = some.select(others, as_bytes(text_column).alias("text"), "ranges")
+    carried = some.select(others, as_bytes(text_column).alias("text"), F.col("__ranges").alias("ranges"))
 
     def run(batches):
         for batch in batches:
