@@ -11,8 +11,10 @@ from tallycast.llm.graph import written
 from tallycast.llm.text import _BASE, _INVERSE, as_bytes, gathered, map_arrow, mix, powers, signed
 
 LENGTH = 400
-SHARD_BYTES, MERGE_BYTES = 1 << 19, 1 << 21
-STEPS = 10
+SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
+STEPS = 4
+STARTS = 64
+CONTENTS = 4096
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -42,7 +44,8 @@ def anchored(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     """Units of a text: key, content hash, first start and number of starts.
 
     Every string of ``length`` bytes belongs to its anchor, the smallest hashed gram among its first half. The strings of
-    one anchor are a unit; its key hashes the bytes that all of them share after the anchor. Equal strings have equal keys.
+    one anchor that start in the same 64 bytes before it are a unit; its key hashes the bytes that all strings from those
+    64 starts share. Equal strings have equal keys, and other texts share a key only if they share some 337 bytes.
     """
     n, width = len(text), max(length // 2, 1)
     if n < length:
@@ -55,10 +58,13 @@ def anchored(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     grams = _hash(sums, places, places + gram)
     low = np.uint64((1 << 28) - 1)
     anchor = (_least((grams & ~low) | places.astype(np.uint64), width) & low).astype(np.int64)
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
+    size = max(1, min(STARTS, length // 4))
+    block = (anchor - np.arange(starts)) // size
+    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
     count = np.diff(first, append=starts)
-    at = anchor[first]
-    return (_hash(sums, at, at + length - width + 1), _hash(sums, first, first + count + length - 1) + count.astype(np.uint64), first, count)
+    latest = anchor[first] - block[first] * size
+    key = _hash(sums, latest, latest + length - size + 1) + block[first].astype(np.uint64)
+    return key, _hash(sums, first, first + count + length - 1) + count.astype(np.uint64), first, count
 
 
 def _spots(length: int):
@@ -81,8 +87,8 @@ def _spots(length: int):
 def _texts(length: int):
     def run(rows):
         cut = (
-            (u["key"], u["content"], u["n"], u["copies"], text[u["at"] : u["at"] + u["n"] + length - 1]) for text, units in rows for u in units)
-        yield from gathered(cut, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()], weigh=lambda row: len(row[4]) + 64)
+            (u["key"], u["content"], u["n"], u["blocks"], text[u["at"] : u["at"] + u["n"] + length - 1]) for text, units in rows for u in units)
+        yield from gathered(cut, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], weigh=lambda row: len(row[4]) + 64)
 
     return run
 
@@ -103,8 +109,7 @@ class Shard:
     """
 
     def __init__(self, names: np.ndarray, ends: np.ndarray, begins: np.ndarray, step: int, steps: int):
-        places = np.arange(len(names))
-        self.suffixes = places
+        self.suffixes = np.arange(len(names), dtype=np.int32)
         for i in range(steps - 1, -1, -1):
             ahead = self.suffixes + i * step
             inside = ahead < ends[self.suffixes]
@@ -123,13 +128,14 @@ def merge_shards(shards: list[Shard], step: int, steps: int) -> tuple[np.ndarray
     a common prefix of that many blocks. A border that first shows in round ``i`` has a common prefix of ``i - 1`` blocks;
     prefixes of ``steps`` blocks and more are reported as that.
     """
-    source = np.repeat(np.arange(len(shards)), [len(s.suffixes) for s in shards])
-    tails = np.repeat(np.arange(len(shards)), [s.tails for s in shards])
-    block = np.zeros(len(source), dtype=np.int64)
+    kind = np.int16 if len(shards) < 1 << 15 else np.int32
+    source = np.repeat(np.arange(len(shards), dtype=kind), [len(s.suffixes) for s in shards])
+    tails = np.repeat(np.arange(len(shards), dtype=kind), [s.tails for s in shards])
+    block = np.zeros(len(source), dtype=np.int32)
     prefix = np.full(len(source), steps * step, dtype=np.int32)
     open_rows = np.ones(len(source), dtype=bool)
     for turn in range(steps):
-        symbol, valid = np.empty(len(source), dtype=np.int64), np.empty(len(source), dtype=bool)
+        symbol, valid = np.empty(len(source), dtype=np.int32), np.empty(len(source), dtype=bool)
         for i, shard in enumerate(shards):
             mine = source == i
             symbol[mine], valid[mine] = shard.before, shard.has_before
@@ -139,7 +145,7 @@ def merge_shards(shards: list[Shard], step: int, steps: int) -> tuple[np.ndarray
         source = np.concatenate([tails, source[rows]])
         fresh = np.ones(len(source), dtype=bool)
         fresh[len(tails) + 1 :] = (bucket[1:] != bucket[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(fresh)
+        block = np.cumsum(fresh, dtype=np.int32)
         prefix[fresh & open_rows] = turn * step
         open_rows &= ~fresh
     return source, prefix
@@ -147,16 +153,15 @@ def merge_shards(shards: list[Shard], step: int, steps: int) -> tuple[np.ndarray
 
 def repeated_starts(texts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each string, which of its first ``counts`` starts open a string of ``length`` bytes that starts in another place too."""
-    step = next(s for s in range(max(1, min(length // STEPS, 64)), 0, -1) if length % s == 0)
+    step = next(s for s in range(max(1, length // STEPS), 0, -1) if length % s == 0)
     steps = length // step
-    sizes = np.array([len(t) + 1 for t in texts])  # each string has an end mark
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int32)  # each string has an end mark
     data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     ends, begins = np.repeat(offsets[1:], sizes), np.repeat(offsets[:-1], sizes)
-    places = np.arange(len(data))
-    full = places + step < ends
-    names = np.zeros(len(data), dtype=np.int64)
-    names[full] = np.unique(_hash(_sums(data), places[full], places[full] + step), return_inverse=True)[1] + 1
+    full = np.flatnonzero(np.arange(len(data)) + step < ends)
+    names = np.zeros(len(data), dtype=np.int32)
+    names[full] = np.unique(_hash(_sums(data), full, full + step), return_inverse=True)[1] + 1
     cuts = np.unique(np.searchsorted(offsets, np.arange(0, len(data), SHARD_BYTES)))
     cuts = np.append(cuts, len(texts))
     bounds = [(offsets[a], offsets[b]) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
@@ -171,24 +176,28 @@ def repeated_starts(texts: list[bytes], counts: np.ndarray, length: int = LENGTH
 
 
 def _merged(length: int):
-    """Units arrive in order of their keys; whole keys are gathered up to the merge size and merged together."""
+    """Units arrive in order of their groups; whole groups are gathered up to the merge size and merged together.
+
+    A content that stands in several groups at hand enters once.
+    """
 
     def ranges(held):
-        starts = repeated_starts([u[4] for u in held], np.array([u[2] for u in held]), length)
+        starts = repeated_starts([u[3] for u in held], np.array([u[2] for u in held]), length)
         out = [(u[1], a, b) for u, hit in zip(held, starts) for a, b in _pairs(hit)]
         return [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
 
     def run(rows):
-        held, size, last = [], 0, None
+        held, size, last = {}, 0, None
         for unit in rows:
             if unit[0] != last and size >= MERGE_BYTES:
-                yield ranges(held)
-                held, size = [], 0
-            held.append(unit)
-            size += len(unit[4])
+                yield ranges(list(held.values()))
+                held, size = {}, 0
+            if unit[1] not in held:
+                size += len(unit[3])
+            held[unit[1]] = unit
             last = unit[0]
         if held:
-            yield ranges(held)
+            yield ranges(list(held.values()))
 
     return run
 
@@ -201,8 +210,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``[row, start, stop]``: byte ranges covered by repeated strings, of texts ``[row, text]``.
 
     Units whose key occurs once are left out through a bitmap of fixed size. Equal units are one string with a number of
-    copies, so a text copied a million times is merged once; a key with one content repeats as a whole if it has copies. All
-    other contents of a key meet in one task, whole keys at a time, where shards of half a megabyte are transformed and merged.
+    copies, so a text copied a million times is merged once; a key with one content repeats as a whole if it has copies. The
+    other contents of a key meet in one task, where shards of a quarter megabyte are transformed and merged. A key with more than
+    4096 contents is dealt out in blocks, of which every two meet in a task.
     """
     spots = written(map_arrow(rows, _spots(length), "key long, content long, row long, at long, n int"), "spots")
     twice = spots.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
@@ -210,13 +220,16 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     near = written(marked(spots, slots, "key").where("marked").drop("marked"), "candidates")
     contents = near.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "at", "n")).alias("one"))
     contents = written(contents.select("key", "content", "copies", "one.*"), "contents")
-    mixed = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("key")
-    mixed = written(contents.join(mixed, "key", "left_semi"), "mixed_units")
-    units = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "content", "copies", "at", "n")).alias("units"))
+    mixed = contents.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CONTENTS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("contents"))
+    mixed = written(contents.join(written(mixed.where("contents > 1"), "mixed_keys"), "key"), "mixed_units")
+    units = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "content", "blocks", "at", "n")).alias("units"))
     holders = marked(rows, written(bitmap(mixed, "row", 22), "bitmap"), "row", 22).where("marked")
     one_each = holders.dropDuplicates(["row"]).join(units, "row").select("text", "units")
-    cut = map_arrow(one_each, _texts(length), "key long, content long, n int, copies long, text binary")
-    sorted_units = cut.repartition("key").sortWithinPartitions("key")
+    cut = map_arrow(one_each, _texts(length), "key long, content long, n int, blocks int, text binary")
+    own = F.pmod(F.xxhash64("content"), F.col("blocks"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("group"), "content", "n", "text")
+    sorted_units = dealt.repartition("group").sortWithinPartitions("group")
     inside = map_arrow(sorted_units, _merged(length), "content long, first int, past int")
     whole = contents.where("copies > 1").select("content", F.lit(0).alias("first"), F.col("n").alias("past"))
     hits = written(inside.unionByName(whole), "repeated_units")
