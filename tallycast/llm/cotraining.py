@@ -121,7 +121,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Q
         return QualityModel({}, 0.0, 0.5 if not total else good / total)
     draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     chosen = written(one_each.where(draw(1) < MAX_LABELLED / total), "chosen")
-    known = docs.where("doc_id is not null").withColumn("id", F.col("doc_id").cast("long"))
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", "source", "lang", "n_chars")
     few = marked(known, written(bitmap(chosen, "id", 22), "bitmap"), "id", 22).where("marked").dropDuplicates(["id"])
     labelled = few.join(chosen, "id").withColumn("held_out", held_out("id"))
     labelled = written(_featured(labelled, ["id", "label", "held_out"]), "labelled")

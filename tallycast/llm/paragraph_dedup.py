@@ -197,8 +197,9 @@ def drop_repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_co
 
     Of each group of equal or similar paragraphs the first by (id, word) stays. Texts without a removed range are not shuffled.
     Null text stays null, empty text empty, with zero counts. Rows with a null id are neither compared nor cut. Rows that
-    share an id are cut where their own words match. Input columns must not be named like the three counts.
+    share an id are cut where their own words match. Input columns named like the three counts are replaced.
     """
+    docs = docs.drop("n_words", "n_removed", "n_spans")
     ranges = written(repeated_paragraphs(docs, id_column, text_column), "ranges")
     slots = written(bitmap(ranges, "id", 22), "bitmap")
     flagged = marked(docs.withColumn("__id", F.col(id_column).cast("long")), slots, "__id", 22)

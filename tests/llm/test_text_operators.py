@@ -230,7 +230,7 @@ def test_planted_passages_are_cut_and_clean_texts_stay(spark):
 
 
 def test_copies_keep_one_and_awkward_texts_survive(spark, docs, texts):
-    out = paragraph_dedup.drop_repeated_paragraphs(docs)
+    out = paragraph_dedup.drop_repeated_paragraphs(docs.withColumn("n_words", F.lit("clash")))
     assert out.columns[: len(docs.columns)] == docs.columns
     got = {r.doc_id: r for r in out.collect()}
     assert got[8].text == texts[8] and got[10].n_removed == 200 and got[11].n_removed == 200
@@ -320,6 +320,7 @@ def test_quality_of_held_out_documents(spark):
 
 def test_quality_without_two_classes(spark, odd_docs, nothing):
     one = spark.createDataFrame([(1, 1, 0), (5, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    odd_docs = odd_docs.withColumn("label", F.lit("x")).withColumn("margin", F.lit(1))
     for labels, share in ((one, 1.0), (one.where("false"), 0.5)):
         scores = cotraining.score_quality(odd_docs, cotraining.train_quality(odd_docs, labels)).collect()
         assert {r.score for r in scores} == {share} and len(scores) == odd_docs.count()
