@@ -7,10 +7,11 @@ import math
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallycast.llm.bitmap import bitmap, marked
 from tallycast.llm.graph import components, written
+from tallycast.llm.minhash_dedup import SMALL_BUCKET, _links_by_blocks, _unsettled
 from tallycast.llm.text import SHINGLE, _BASE, _INVERSE, _STEPS, as_bytes, chunks, lists, map_arrow, mix, powers, shingles, signed, words
 
 #: A paragraph starts at the smallest word-pair hash of any 20 in a row and ends where the next one starts.
@@ -19,8 +20,7 @@ WINDOW = 20
 MIN_RUN = 16
 PERCENT, RECALL = 75, 0.98
 SLICES = 64
-PLACE = ["fp", "id", "start", "stop"]
-BANDED = "band int, value long, next int, fp long, id long, start int, stop int"
+BANDED = "band int, value long, fp long, id long, start int, stop int"
 
 
 def bands_for(similarity: float = PERCENT / 100, recall: float = RECALL, rows: int = 1) -> int:
@@ -64,21 +64,40 @@ def _hashed(rows):
             yield key, hashes[offsets[i] : offsets[i + 1]]
 
 
-def _banded(rows):
-    """One row per paragraph and band; ``next`` is the following band's value, by which neighbours are ordered."""
-    parts, size = [], 0
+def _values(rows):
+    """Of every text with a paragraph: its key, starts and ends, their fingerprints, and one row of values per band."""
     for key, hashes in _hashed(rows):
         start, end = paragraphs(hashes) if len(hashes) >= SHINGLE else ([], [])
         if len(start):
             flat = np.append(shingles(hashes), np.uint64(0))
             cuts = np.stack([start, end - 4], axis=1).ravel()
-            values = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + band]), cuts)[::2] for band in range(BANDS)]
-            own = prints(hashes, start, end)
-            for band in range(BANDS):
-                after = (values[(band + 1) % BANDS] & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                parts.append((np.full(len(start), band, dtype=np.int32), signed(values[band]), after, signed(own),
-                              np.full(len(start), key, dtype=np.int64), start.astype(np.int32), end.astype(np.int32)))
-            size += BANDS * len(start)
+            values = np.stack([np.minimum.reduceat(mix(flat ^ _STEPS[8 + band]), cuts)[::2] for band in range(BANDS)])
+            yield key, start, end, prints(hashes, start, end), values
+
+
+def _met(rows):
+    """``[value, who]``: every band value with the paragraph's fingerprint, and every fingerprint with a hash of its place."""
+    parts, size = [], 0
+    for key, start, _, own, values in _values(rows):
+        with np.errstate(over="ignore"):
+            place = mix(np.uint64(key & 0xFFFFFFFFFFFFFFFF) * _STEPS[2] + start.astype(np.uint64) * _STEPS[3])
+        parts.append((np.append(values.ravel(), own), np.append(np.tile(own, BANDS), place)))
+        size += len(start)
+        if size > 20_000:
+            yield [signed(np.concatenate(c)) for c in zip(*parts)]
+            parts, size = [], 0
+    if parts:
+        yield [signed(np.concatenate(c)) for c in zip(*parts)]
+
+
+def _banded(rows):
+    """One row per paragraph and band, and one more, numbered as the band after the last, with the fingerprint as its value."""
+    parts, size = [], 0
+    for key, start, end, own, values in _values(rows):
+        n = BANDS + 1
+        parts.append((np.repeat(np.arange(n, dtype=np.int32), len(start)), signed(np.append(values.ravel(), own)), signed(np.tile(own, n)),
+                      np.full(n * len(start), key, dtype=np.int64), np.tile(start.astype(np.int32), n), np.tile(end.astype(np.int32), n)))
+        size += len(start)
         if size > 20_000:
             yield [np.concatenate(c) for c in zip(*parts)]
             parts, size = [], 0
@@ -149,43 +168,57 @@ def _hot_values(source: DataFrame) -> list[int]:
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``[id, start, stop, fp]``: the word ranges that repeat a paragraph kept elsewhere.
 
-    Each paragraph has one MinHash value of its 5-word shingles per band, as many bands as the wanted recall needs.
-    Within equal values, paragraphs lie in the order of the next band's value and their fingerprint. Equal fingerprints
-    are one class, of which the first by (id, word) stays. A class is compared with its neighbour and with the first one
-    on their full shingle sets; pairs at similarity 0.75 are linked, and of every component the first by (id, word) stays.
-    A value shared by a hundredth of the documents is split into slices of the next value, so that similar ones stay together.
+    Each paragraph has one MinHash value of its 5-word shingles per band, as many bands as the wanted recall needs. Equal
+    fingerprints are one class, of which the first by (id, word) stays. Classes that share a value are linked at similarity
+    0.75 of their full shingle sets, whatever the number of them that share it (``_links``); of every component the first by (id, word) stays.
+
+    Values and fingerprints that two paragraphs share are counted over all rows, and only their rows are shuffled whole.
     """
     source = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), as_bytes(text_column).alias("text"))
-    hot = _hot_values(source)
-    slice_ = F.when(F.col("value").isin(hot), F.pmod("next", F.lit(SLICES))).otherwise(0) if hot else F.lit(0)
-    banded = map_arrow(source, _banded, BANDED).withColumn("slice", slice_.cast("int"))
-    lane = W.partitionBy("value", "slice").orderBy("next", "fp", "id", "start")
-    this = F.struct(*PLACE)
-    near = written(banded.select(
-        "band", *PLACE, F.lag(this).over(lane).alias("before"), F.first(this).over(lane).alias("head"),
-    ).where(F.col("before").isNotNull() & ((F.col("fp") != F.col("before.fp")) | (F.col("band") == 0))), "paragraph_pairs")
-    again = near.where((F.col("fp") == F.col("before.fp")) & (
-        (F.col("id") != F.col("before.id")) | (F.col("start") != F.col("before.start")))).select("id", "start", "stop", "fp")
-    unlike = near.where(F.col("fp") != F.col("before.fp"))
-    pairs = unlike.select(F.col("fp").alias("x"), F.col("before.fp").alias("y")).unionByName(
-        unlike.select(F.col("fp").alias("x"), F.col("head.fp").alias("y")))
-    pairs = written(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    links = written(_linked(pairs, source), "links")
-    named = components(links)
-    heads = unlike.select(*PLACE).unionByName(unlike.select("head.*")).groupBy("fp").agg(
-        F.min(F.struct("id", "start", "stop")).alias("at"))
-    members = heads.join(named, heads["fp"] == named["id"]).select("fp", "at", "component")
-    best = written(members, "members")
+    met = map_arrow(source, _met, "value long, who long").groupBy("value").agg(F.min("who").alias("low"), F.max("who").alias("high"))
+    shared = written(met.where("low <> high").select("value"), "shared_values")
+    slots = written(bitmap(shared, "value"), "bitmap")
+    found = marked(map_arrow(source, _banded, BANDED), slots, "value").where("marked").drop("marked")
+    found = written(found.join(shared, "value", "left_semi"), "band_rows")
+    places = found.groupBy("fp").agg(F.min(F.struct("id", "start", "stop")).alias("at"))
+    places = written(places, "places")
+    equal = found.where(F.col("band") == BANDS)
+    again = equal.join(places, "fp").where(F.struct("id", "start", "stop") != F.col("at")).select("id", "start", "stop", "fp")
+    classes = found.where(F.col("band") < BANDS).select("band", "value", F.col("fp").alias("id")).distinct()
+    sizes = classes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = written(classes.join(sizes, ["band", "value"]), "class_rows")
+    named = components(_links(rows, source))
+    best = written(places.join(named, F.col("fp") == F.col("id")).select("fp", "at", "component"), "members")
     first = written(best.groupBy("component").agg(F.min("at").alias("first")), "first_members")
     similar = best.join(first, "component").where("at <> first").select("at.id", "at.start", "at.stop", "fp")
     return again.unionByName(similar).distinct()
 
 
-def _linked(pairs: DataFrame, source: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-    slots = written(bitmap(wanted, "fp"), "bitmap")
-    sets = marked(map_arrow(source, _sets, "fp long, items array<long>"), slots, "fp").where("marked")
-    sets = written(sets.groupBy("fp").agg(F.first("items").alias("items")).join(wanted.distinct(), "fp", "left_semi"), "sets")
+def _links(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Links ``[a, b]`` that connect every two similar classes of a band value, of ``[id, band, value, size]``.
+
+    All classes of a value are first compared with one centre. Those still in different components are then compared as pairs
+    in a small value, block against block in a large one.
+    """
+    wanted = written(rows.groupBy("id").agg(F.sum("size").alias("degree")), "classes")
+    slots = written(bitmap(wanted, "id"), "bitmap")
+    sets = marked(map_arrow(source, _sets, "id long, items array<long>"), slots, "id").where("marked")
+    sets = written(sets.groupBy("id").agg(F.first("items").alias("items")).join(wanted, "id", "left_semi"), "sets")
+    central = rows.join(wanted, "id").groupBy("band", "value").agg(
+        F.max_by("id", F.struct(F.col("degree"), -F.col("id"))).alias("centre"))
+    spokes = rows.join(written(central, "centres"), ["band", "value"]).where("id <> centre")
+    tried = written(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
+    links = written(_linked(tried, sets), "links")
+    rows = _unsettled(rows, links)
+    small, large = rows.where(F.col("size") <= SMALL_BUCKET), rows.where(F.col("size") > SMALL_BUCKET)
+    left = small.select("band", "value", F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = small.select("band", "value", F.col("id").alias("b"), F.col("component").alias("cb"))
+    rest = left.join(right, ["band", "value"]).where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_linked(written(rest, "pairs"), sets))
+    return links if large.isEmpty() else links.unionByName(_links_by_blocks(large, sets))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.join(sets.toDF("a", "a_items"), "a").join(sets.toDF("b", "b_items"), "b")
     both = F.size(F.array_intersect("a_items", "b_items"))
     return joined.where(100 * both >= PERCENT * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")

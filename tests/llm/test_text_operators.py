@@ -238,6 +238,47 @@ def test_copies_keep_one_and_awkward_texts_survive(spark, docs, texts):
     assert all(got[i].n_words == len((t or "").encode().split()) for i, t in enumerate(texts))
 
 
+def brute_removed(texts):
+    """Places of the paragraphs that a comparison of all pairs would remove, among pairs that share a band value."""
+    found = []
+    for key, start, end, own, values in paragraph_dedup._values((i, t.encode()) for i, t in enumerate(texts)):
+        split = texts[key].split()
+        found.extend((key, int(s), int(e), set(v), shingle_set(" ".join(split[s:e]))) for s, e, v in zip(start, end, values.T.tolist()))
+    sets = [f[4] for f in found]
+    parent = list(range(len(found)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(found)), 2):
+        if found[i][3] & found[j][3] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {found[i][:3] for i in range(len(found)) if root(i) != i}
+
+
+def crowded_texts(rng, n):
+    """Paragraph pairs alike but for the last word; all share a template of 14 words, so that many meet in one value."""
+    template = prose(rng, 14)
+    out = []
+    for _ in range(n):
+        tail = prose(rng, 5).split()
+        out.append(" ".join([template, *tail[:4]]))
+        out.append(" ".join([template, *tail]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("small", [48, 1000])
+def test_crowded_band_values_against_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(paragraph_dedup, "SMALL_BUCKET", small)
+    texts = crowded_texts(random.Random(8), 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.id, r.start, r.stop) for r in paragraph_dedup.repeated_paragraphs(df).collect()}
+    assert got == brute_removed(texts)
+
+
 def test_bands_for_recall():
     assert paragraph_dedup.bands_for(0.75, 0.98) == 3 and paragraph_dedup.bands_for(0.75, 0.9998, 5) == 32
 
