@@ -84,7 +84,7 @@ def fit_global(
 ) -> GlobalModel:
     """Train on the candidate origins up to ``origin_day``, of all series or of the bounded sample ``fit_ids``.
 
-    The last candidate windows are held out: they stop the boosting early and give the residual quantiles per
+    The last candidate windows are held out: they stop the boosting once their error rises and give the residual quantiles per
     step of the horizon and volume segment. All their targets lie after every target that is trained on; windows that would
     overlap both are left out. Nothing after ``origin_day`` is read. Only features of the candidate day enter, unless
     ``use_ahead`` adds the calendar of the target day.
@@ -112,7 +112,7 @@ def fit_global(
     trees_model = GBTRegressor(
         featuresCol="features", labelCol="target", predictionCol="point", lossType="absolute",
         maxIter=trees, maxDepth=depth, stepSize=learning_rate, maxBins=max(32, most_values), seed=seed,
-        validationIndicatorCol="held_out", checkpointInterval=5,
+        validationIndicatorCol="held_out", validationTol=0.0, checkpointInterval=5,
     ).fit(assembled)
     scaled = (F.col("target") - F.col("point")) / _noise_scale()
     judged = trees_model.transform(assembled.where("held_out")).withColumn("residual", scaled)

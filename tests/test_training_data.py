@@ -147,3 +147,11 @@ def test_every_series_is_forecast_though_few_are_fitted(spark):
     few = spark.createDataFrame([("S1",)], "id string")
     model = fit_global(engineered, 122, trees=3, depth=2, fit_ids=few)
     assert forecast_global(model, engineered, 122).select("id").distinct().count() == 2
+
+
+def test_boosting_goes_on_while_the_held_out_error_falls(spark, fitted):
+    """Skewed demand in the hundreds, where a round gains far less than a hundredth of the error."""
+    data, _, _ = fitted
+    skewed = data.withColumn("sales", F.floor(-100 * F.log(1 - (F.pmod(F.xxhash64("id", "d_num"), F.lit(1000)) + 0.5) / 1001)).cast("double"))
+    model = fit_global(features.engineer_features(skewed), 122, trees=10, depth=2)
+    assert model.pipeline.stages[-1].getNumTrees >= 8
