@@ -10,6 +10,7 @@ from tallycast.llm.graph import written
 
 BITS = 64
 K = 10
+KEY = ["query", "several", "own"]
 
 
 def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -46,30 +47,38 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     """``[query_id, rank, id, distance]``: the k nearest other rows of every query ``[id, code]`` among ``codes [id, code]``.
 
     Order is by distance, then id; fewer than k rows come back only where the table has fewer. Rows with the query's id
-    are not its neighbours. Equal codes are one entry with its k + 1 smallest ids, and equal queries are searched once.
+    are not its neighbours. Equal codes are one entry with its k + 1 smallest different ids, each as often as it occurs, up to
+    k + 1 times, and equal queries are searched once; a query whose id has several rows is searched on its own, without them.
+    Rows of the queries that share an id give one list, as pairs in SQL would.
 
     Each code stands in one table per segment of its bits. Round r looks up all segment values at distance r from the
     query's, in every segment. A code is taken only in the first (radius, segment) that meets it, so none comes twice. After round
     r every code within m r + m - 1 (m segments) has been met; a query is finished when its last wanted distance is within
-    that. Only the unfinished go on. Each round keeps the best k + 1 ids of a query, limited before the shuffle.
+    that. Only the unfinished go on. Each round keeps the best k + 1 rows of a query, limited before the shuffle.
     """
     wanted = k + 1
     small = W.partitionBy("code").orderBy("id")
     known = codes.where("id is not null and code is not null")
-    entries = written(known.withColumn("place", F.row_number().over(small)).where(F.col("place") <= wanted).groupBy("code").agg(
-        F.array_sort(F.collect_list("id")).alias("ids")), "codes")
+    counted = known.groupBy("code", "id").agg(F.count(F.lit(1)).alias("n"))
+    entries = counted.withColumn("place", F.row_number().over(small)).where(F.col("place") <= wanted).groupBy("code").agg(
+        F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    copies = F.transform("ids", lambda x: F.array_repeat(x["id"], F.least(x["n"], F.lit(wanted)).cast("int")))
+    entries = written(entries.select("code", F.flatten(copies).alias("ids")), "codes")
+    several = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
     n_codes, n_rows = entries.count(), known.count()
     m = segments_for(n_codes)
     width = BITS // m
     numbers = F.sequence(F.lit(0), F.lit(m - 1))
     index = written(entries.withColumn("segment", F.explode(numbers)).select(
         "segment", _segment(F.col("code"), F.col("segment"), width).alias("value"), "code", "ids"), "segments")
-    asked = queries.where("id is not null and code is not null")
-    open_ = written(asked.select(F.col("code").alias("query")).distinct(), "queries")
+    asked = queries.where("id is not null and code is not null").select("id", F.col("code").alias("query"))
+    asked = asked.join(several, "id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    asked = written(asked.withColumn("own", F.when(F.col("several"), F.col("id")).otherwise(F.lit(0).cast("long"))), "asked")
+    open_ = written(asked.select(*KEY).distinct(), "queries")
     best, results, radius = None, [], 0
     while radius <= width and not open_.isEmpty():
         probes = open_.withColumn("segment", F.explode(numbers)).withColumn("mask", F.explode(_masks(width, radius))).select(
-            "query", "segment", _segment(F.col("query"), F.col("segment"), width).bitwiseXOR(F.col("mask")).alias("value"))
+            *KEY, "segment", _segment(F.col("query"), F.col("segment"), width).bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(index, ["segment", "value"])
         differ = F.col("query").bitwiseXOR(F.col("code"))
         near = [F.bit_count(_segment(differ, F.lit(i), width)) for i in range(m)]
@@ -77,28 +86,30 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
         first = ~earlier[0]
         for condition in earlier[1:]:
             first = first & ~condition
-        found = met.where(first).select("query", F.bit_count(differ).alias("distance"), F.explode("ids").alias("id"))
+        found = met.where(first).select(*KEY, F.bit_count(differ).alias("distance"), F.explode("ids").alias("id"))
+        found = found.where(~F.col("several") | (F.col("id") != F.col("own")))
         pool = found if best is None else found.unionByName(best)
-        order = W.partitionBy("query").orderBy("distance", "id")
+        order = W.partitionBy(*KEY).orderBy("distance", "id")
         best = written(pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted).drop("place"), "best")
         covered = m * radius + m - 1
-        state = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        finished = state.where((F.col("n") >= min(wanted, n_rows)) & (F.col("far") <= covered)).select("query")
-        finished = written(finished if radius < width else open_.select("query"), "finished")
-        results.append(best.join(finished, "query", "left_semi"))
-        best = best.join(finished, "query", "left_anti")
-        open_ = written(open_.join(finished, "query", "left_anti"), "queries")
+        state = best.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        finished = state.where((F.col("n") >= min(wanted, n_rows)) & (F.col("far") <= covered)).select(*KEY)
+        finished = written(finished if radius < width else open_, "finished")
+        results.append(best.join(finished, KEY, "left_semi"))
+        best = best.join(finished, KEY, "left_anti")
+        open_ = written(open_.join(finished, KEY, "left_anti"), "queries")
         radius += 1
     if not results:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0).alias("distance")).limit(0)
     lists = results[0]
     for more in results[1:]:
         lists = lists.unionByName(more)
-    lists = written(lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")), "neighbours")
-    own = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(lists, "query")
+    lists = written(lists.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")), "neighbours")
+    own = asked.withColumnRenamed("id", "query_id").join(lists, KEY)
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(others).alias("place", "hit")).select(
-        "query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("id"), F.col("hit.distance").alias("distance"))
+    hits = own.select("query_id", F.explode(others).alias("hit")).select("query_id", "hit.id", "hit.distance")
+    best_first = W.partitionBy("query_id").orderBy("distance", "id")
+    return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def embedding_top_k(vectors: DataFrame, k: int = K, every: int = 50) -> DataFrame:

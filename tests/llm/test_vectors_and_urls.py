@@ -82,6 +82,20 @@ def test_top_k_against_sorting(spark, n):
     assert [tuple(r) for r in got] == expected
 
 
+def test_top_k_with_repeated_ids(spark):
+    """Rows that share an id: they fill no caps of their own queries and count as rows for the others."""
+    rng = np.random.default_rng(4)
+    rows = [(0, 77)] * 30 + [(7, 77 ^ (1 << i)) for i in range(20)] + [(14, 77)] * 3 + [(i, 77 ^ 3) for i in (1, 2, 3)]
+    rows += [(i, int(c)) for i, c in enumerate(rng.integers(-(1 << 63), (1 << 63) - 1, 60), 15)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = hamming_search.hamming_top_k(df, df.where("id % 7 = 0"), 6).orderBy("query_id", "rank").collect()
+    expected = []
+    for q in sorted({i for i, _ in rows if i % 7 == 0}):
+        near = sorted((bin((c ^ d) & (1 << 64) - 1).count("1"), i) for p, c in rows if p == q for i, d in rows if i != q)[:6]
+        expected += [(q, rank + 1, i, d) for rank, (d, i) in enumerate(near)]
+    assert [tuple(r) for r in got] == expected
+
+
 URLS = [
     "http://a.com/en/1", "https://Example.COM/en/x?q=1", "https://www.example.com/en/2#t", "http://example.com", "http://x.net/es/", "http://net/fr/9",
     "no scheme", None, "http://", "http://badnet/es/", "ftp://b.org?x://y/z", "http://C.com?en/1", "http://a.com/EN/1", "x://A.B.NET/fr/ü",
