@@ -16,7 +16,7 @@ from tallycast.llm.language_id import held_out
 from tallycast.llm.text import as_bytes, chunks, words
 
 WORD_BINS, NAME_BINS = 256, 64
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
+MAX_LABELLED = 20_000
 ROUNDS, EXCHANGED, CONFIDENT = 3, 400, 0.9
 PENALTY, ITERATIONS = 0.001, 30
 _UPPER, _DIGIT, _MARK = (np.zeros(256, dtype=bool) for _ in range(3))
@@ -98,18 +98,53 @@ def _scored(model, rows: DataFrame, view: str) -> DataFrame:
     return out.select("id", F.element_at(vector_to_array("probability"), 2).alias("p"), F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"))
 
 
-def _confident(scored: DataFrame, n: int) -> DataFrame:
-    """The n surest good and the n surest bad rows of a view, as ``[id, label]``."""
-    good = scored.where(F.col("p") >= CONFIDENT).orderBy(F.desc("p"), "id").limit(n).select("id", F.lit(1.0).alias("label"))
-    bad = scored.where(F.col("p") <= 1 - CONFIDENT).orderBy("p", "id").limit(n).select("id", F.lit(0.0).alias("label"))
+def _pool(known: DataFrame, labels: DataFrame, models: dict) -> DataFrame:
+    """``[id, row, text_view, meta_view]``: the probability that each view gives every document without a label.
+
+    Of rows that share an id the one of the least hash ``row`` counts. Features are not stored, only the probabilities.
+    """
+    weights = {view: (model.coefficients.toArray(), float(model.intercept)) for view, model in models.items()}
+    carried = known.select("id", "row", as_bytes("text").alias("text"), "source", "lang", "n_chars")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            coefficients, offset = weights["text_view"]
+            text = np.concatenate([text_features([t for _, t in held]) @ coefficients for held in chunks((None, t) for t in texts)]) + offset
+            coefficients, offset = weights["meta_view"]
+            meta = metadata_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))) @ coefficients + offset
+            chances = [pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50)))) for z in (text, meta)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *chances], names=["id", "row", "text_view", "meta_view"])
+
+    scored = carried.mapInArrow(run, "id long, row long, text_view double, meta_view double")
+    one_each = scored.groupBy("id").agg(F.min(F.struct("row", "text_view", "meta_view")).alias("first"))
+    return one_each.join(labels, "id", "left_anti").select("id", "first.*")
+
+
+def _confident(pool: DataFrame, view: str, n: int) -> DataFrame:
+    """The n surest good and the n surest bad rows of a view among all of the pool, as ``[id, row, label]``."""
+    good = pool.where(F.col(view) >= CONFIDENT).orderBy(F.desc(view), "id").limit(n).select("id", "row", F.lit(1.0).alias("label"))
+    bad = pool.where(F.col(view) <= 1 - CONFIDENT).orderBy(view, "id").limit(n).select("id", "row", F.lit(0.0).alias("label"))
     return good.unionByName(bad)
 
 
+def _lent(known: DataFrame, sure: dict) -> dict:
+    """The features and labels that each view is lent by the other."""
+    picked = written(sure["text_view"].unionByName(sure["meta_view"]).select("id", "row").distinct(), "picked")
+    few = marked(known, written(bitmap(picked, "id", 22), "bitmap"), "id", 22).where("marked")
+    few = few.join(picked, ["id", "row"], "left_semi").dropDuplicates(["id"])
+    featured = written(_featured(few, ["id"]), "lent")
+    return {view: featured.join(sure[other].select("id", "label"), "id").select(view, "label")
+            for view, other in (("text_view", "meta_view"), ("meta_view", "text_view"))}
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> QualityModel:
-    """Co-training on at most 20,000 labelled documents and a pool of 20,000 unlabelled ones, both drawn by a hash of the id.
+    """Co-training on at most 20,000 labelled documents, drawn by a hash of the id, and all unlabelled ones.
 
-    Both views start from the labelled documents outside the held-out fifth. In every round each view scores the pool and hands
-    its surest rows, up to 400 more of each class a round at a probability of 0.9, to the other view as labels. The held-out fifth of the
+    Both views start from the labelled documents outside the held-out fifth. In every round each view scores all unlabelled
+    documents and hands its surest rows, up to 400 more of each class a round at a probability of 0.9, to the other view as labels. The held-out fifth of the
     labelled rows then calibrates each view by its margin. With labels of one class only, or none, every score is the
     share of good labels, 0.5 without labels.
     """
@@ -121,27 +156,25 @@ def train_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Q
         return QualityModel({}, 0.0, 0.5 if not total else good / total)
     draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     chosen = written(one_each.where(draw(1) < MAX_LABELLED / total), "chosen")
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", "source", "lang", "n_chars")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    known = known.withColumn("row", F.xxhash64("text", "source", "lang", "n_chars"))
     few = marked(known, written(bitmap(chosen, "id", 22), "bitmap"), "id", 22).where("marked").dropDuplicates(["id"])
     labelled = few.join(chosen, "id").withColumn("held_out", held_out("id"))
     labelled = written(_featured(labelled, ["id", "label", "held_out"]), "labelled")
-    pool = known.where(draw(2) < MAX_POOL / max(known.count(), 1)).join(one_each, "id", "left_anti").dropDuplicates(["id"])
-    pool = written(_featured(pool, ["id"]), "pool")
     train, check = labelled.where("not held_out"), labelled.where("held_out")
     if train.select("label").distinct().count() < 2:
         return QualityModel({}, 0.0, good / total)
     views = ("text_view", "meta_view")
-    lent = {view: None for view in views}
-    models = {}
+    lent, models = {}, {}
     for turn in range(rounds + 1):
         for view in views:
             rows = train.select(view, "label")
-            if lent[view] is not None:
-                rows = rows.unionByName(pool.join(lent[view], "id").select(view, "label"))
+            if view in lent:
+                rows = rows.unionByName(lent[view])
             models[view] = _fit(rows, view)
         if turn < rounds:
-            sure = {view: written(_confident(_scored(models[view], pool, view), EXCHANGED * (turn + 1)), "pseudo_labels") for view in views}
-            lent = {views[0]: sure[views[1]], views[1]: sure[views[0]]}
+            pool = written(_pool(known, one_each, models), "pool")
+            lent = _lent(known, {view: written(_confident(pool, view, EXCHANGED * (turn + 1)), "pseudo_labels") for view in views})
     fitted = {}
     two_classes = check.select("label").distinct().count() == 2
     for view, model in models.items():

@@ -359,6 +359,21 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([[a > b for b in bad] for a in good]) > 0.9
 
 
+def test_pseudo_labels_are_sought_in_all_documents(spark, monkeypatch):
+    """The surest of a table and of a part of it differ; a bound on the pool would change the weights."""
+    rng = random.Random(12)
+    rows = [(i, ("good " if i % 2 else "BAD! 9 ") * rng.randrange(1, 6) + prose(rng, 20), "en", f"s{i % 2}", rng.randrange(99)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = df.where("doc_id < 60").select("doc_id", (F.col("doc_id") % 2).cast("double").alias("quality"))
+    seen = []
+    fit = cotraining._fit
+    monkeypatch.setattr(cotraining, "EXCHANGED", 1000)
+    monkeypatch.setattr(cotraining, "MAX_POOL", 20, raising=False)
+    monkeypatch.setattr(cotraining, "_fit", lambda rows, view, *a: (seen.append(rows.count()), fit(rows, view, *a))[1])
+    cotraining.train_quality(df, labels, rounds=1)
+    assert max(seen) > 340
+
+
 def test_quality_without_two_classes(spark, odd_docs, nothing):
     one = spark.createDataFrame([(1, 1, 0), (5, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     odd_docs = odd_docs.withColumn("label", F.lit("x")).withColumn("margin", F.lit(1))
