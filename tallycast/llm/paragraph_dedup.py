@@ -19,7 +19,6 @@ WINDOW = 20
 #: Runs of repeated paragraphs under 16 words stay.
 MIN_RUN = 16
 PERCENT, RECALL = 75, 0.98
-SLICES = 64
 BANDED = "band int, value long, fp long, id long, start int, stop int"
 
 
@@ -154,17 +153,6 @@ def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes |
     return len(hashes), removed, len(edges) // 2, None if text is None else b"".join([*kept, text[at:]])
 
 
-def _hot_values(source: DataFrame) -> list[int]:
-    """Band values that one document in a hundred or more shares, seen in a hash sample of about 2000 documents.
-
-    They only decide which values are laid out in slices; the sample bounds their number.
-    """
-    rate = min(1.0, 2000 / max(source.count(), 1))
-    sample = source.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    shared = map_arrow(sample, _banded, BANDED).groupBy("value").agg(F.count_distinct("id").alias("n"))
-    return [row["value"] for row in shared.where("n >= 20").orderBy("value").collect()]
-
-
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``[id, start, stop, fp]``: the word ranges that repeat a paragraph kept elsewhere.
 

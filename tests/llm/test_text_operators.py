@@ -279,6 +279,18 @@ def test_crowded_band_values_against_all_pairs(spark, monkeypatch, small):
     assert got == brute_removed(texts)
 
 
+def test_layout_does_not_change_the_repeated_paragraphs(spark, monkeypatch):
+    texts = crowded_texts(random.Random(9), 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for slices, block, small in ((64, 256, 48), (1, 8, 2)):
+        monkeypatch.setattr(paragraph_dedup, "SLICES", slices, raising=False)
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(paragraph_dedup, "SMALL_BUCKET", small, raising=False)
+        found.append({(r.id, r.start, r.stop) for r in paragraph_dedup.repeated_paragraphs(df).collect()})
+    assert found[0] == found[1]
+
+
 def test_bands_for_recall():
     assert paragraph_dedup.bands_for(0.75, 0.98) == 3 and paragraph_dedup.bands_for(0.75, 0.9998, 5) == 32
 
