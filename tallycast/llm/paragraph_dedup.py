@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tallycast.llm.bitmap import bitmap, marked
 from tallycast.llm.graph import components, written
@@ -19,6 +19,8 @@ WINDOW = 20
 #: Runs of repeated paragraphs under 16 words stay.
 MIN_RUN = 16
 PERCENT, RECALL = 75, 0.98
+LEFT, RIGHT = 0, 1
+AROUND = "id long, start int, stop int, fp long, side int, words array<long>"
 BANDED = "band int, value long, fp long, id long, start int, stop int"
 
 
@@ -126,11 +128,44 @@ def _runs(covered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(covered.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
 
 
+def around(hashes: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words before a paragraph, nearest first, and those after it, as far as a border of it may be cut otherwise elsewhere.
+
+    They reach past the next whole paragraph that is cut alike wherever all of these words stand, so a repeated passage
+    that goes on beyond them has a repeated paragraph there. A border depends on the words within a window on either side.
+    """
+    starts, ends = paragraphs(hashes)
+    margin = WINDOW + 1
+    after, before = np.searchsorted(starts, stop + margin), np.searchsorted(ends, start - margin, side="right") - 1
+    last = min(ends[after] + margin, len(hashes)) if after < len(ends) else len(hashes)
+    first = max(starts[before] - margin, 0) if before >= 0 else 0
+    return hashes[first:start][::-1], hashes[stop:last]
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of equal words at the beginning of both."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _extended(hashes: np.ndarray, found: dict) -> tuple[int, int]:
+    """A range with the words on its open side that the kept copy has there too."""
+    start, stop = found["start"], found["stop"]
+    if found["words"] is not None:
+        other = np.array(found["words"], dtype=np.int64).view(np.uint64)
+        if found["side"] == LEFT:
+            start -= _same(hashes[:start][::-1], other)
+        else:
+            stop += _same(hashes[stop:], other)
+    return start, stop
+
+
 def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes | None]:
     """Words, removed words, removed runs and the text without the word ranges.
 
-    A range counts only where its words have the fingerprint it was found with. Fewer than five words between two ranges
-    go with them; then runs under 16 words stay.
+    A range counts only where its words have the fingerprint it was found with. It goes on word by word as long as the
+    words are those around the kept copy. Fewer than five words between two ranges go with them; then runs under 16 words stay.
     """
     start, end, hashes, _ = words([text or b""])
     edges, steps = np.zeros(0, dtype=np.int64), np.zeros(len(hashes) + 1, dtype=np.int64)
@@ -138,8 +173,11 @@ def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes |
     if fit:
         first, stop = np.array([r["start"] for r in fit]), np.array([r["stop"] for r in fit])
         right = signed(prints(hashes, first, stop)) == np.array([r["fp"] for r in fit])
-        np.add.at(steps, first[right], 1)
-        np.add.at(steps, stop[right], -1)
+        for found, good in zip(fit, right):
+            if good:
+                begin, behind = _extended(hashes, found)
+                steps[begin] += 1
+                steps[behind] -= 1
         edges = _runs(np.cumsum(steps)[:-1] > 0)
         between = edges[2::2] - edges[1:-1:2]
         joined = np.repeat(between < SHINGLE, 2)
@@ -154,7 +192,7 @@ def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes |
 
 
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``[id, start, stop, fp]``: the word ranges that repeat a paragraph kept elsewhere.
+    """``[id, start, stop, fp, kept]``: the word ranges that repeat a paragraph, and the place and fingerprint of the kept copy.
 
     Each paragraph has one MinHash value of its 5-word shingles per band, as many bands as the wanted recall needs. Equal
     fingerprints are one class, of which the first by (id, word) stays. Classes that share a value are linked at similarity
@@ -171,14 +209,15 @@ def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column:
     places = found.groupBy("fp").agg(F.min(F.struct("id", "start", "stop")).alias("at"))
     places = written(places, "places")
     equal = found.where(F.col("band") == BANDS)
-    again = equal.join(places, "fp").where(F.struct("id", "start", "stop") != F.col("at")).select("id", "start", "stop", "fp")
+    again = equal.join(places, "fp").where(F.struct("id", "start", "stop") != F.col("at")).select(
+        "id", "start", "stop", "fp", F.struct("at.*", "fp").alias("kept"))
     classes = found.where(F.col("band") < BANDS).select("band", "value", F.col("fp").alias("id")).distinct()
     sizes = classes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(classes.join(sizes, ["band", "value"]), "class_rows")
     named = components(_links(rows, source))
     best = written(places.join(named, F.col("fp") == F.col("id")).select("fp", "at", "component"), "members")
-    first = written(best.groupBy("component").agg(F.min("at").alias("first")), "first_members")
-    similar = best.join(first, "component").where("at <> first").select("at.id", "at.start", "at.stop", "fp")
+    first = written(best.groupBy("component").agg(F.min(F.struct("at.*", "fp")).alias("kept")), "first_members")
+    similar = best.join(first, "component").where(F.col("fp") != F.col("kept.fp")).select("at.id", "at.start", "at.stop", "fp", "kept")
     return again.unionByName(similar).distinct()
 
 
@@ -212,23 +251,61 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * both >= PERCENT * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
 
 
+def _with_words_around(ranges: DataFrame, source: DataFrame) -> DataFrame:
+    """``[id, start, stop, fp, side, words]``: a row per open side of a range, with the words on that side of its kept copy.
+
+    A side is open if no other range of the document borders on it. A range without an open side has one row without words.
+    """
+    near = W.partitionBy("id").orderBy("start", "stop")
+    left = F.when(F.coalesce(F.lag("stop").over(near) < F.col("start"), F.lit(True)), LEFT)
+    right = F.when(F.coalesce(F.lead("start").over(near) > F.col("stop"), F.lit(True)), RIGHT)
+    sides = ranges.withColumn("sides", F.array_compact(F.array(left, right)))
+    sides = written(sides.withColumn("side", F.explode_outer("sides")).drop("sides"), "sides")
+    key = ["kept", "side"]
+    wanted = written(sides.where("side is not null").select(*key).distinct(), "wanted")
+    wanted = wanted.withColumn("id", F.col("kept.id"))
+    slots = written(bitmap(wanted, "id", 22), "bitmap")
+    holders = marked(source, slots, "id", 22).where("marked").drop("marked")
+    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("kept.start", "kept.stop", "kept.fp", "side")).alias("asked"))
+    words_ = map_arrow(holders.join(asked, "id").select("id", "text", "asked"), _words_around, AROUND)
+    one_each = words_.groupBy("id", "start", "stop", "fp", "side").agg(F.min("words").alias("words"))
+    around_ = written(one_each.select(F.struct("id", "start", "stop", "fp").alias("kept"), "side", "words"), "around")
+    return sides.join(around_, key, "left").select("id", "start", "stop", "fp", "side", "words")
+
+
+def _words_around(rows):
+    for key, text, asked in rows:
+        _, _, hashes, _ = words([text or b""])
+        found = []
+        for one in asked:
+            first, last = one["start"], one["stop"]
+            if last <= len(hashes) and signed(prints(hashes, np.array([first]), np.array([last])))[0] == one["fp"]:
+                found.append((first, last, one["fp"], one["side"], signed(around(hashes, first, last)[one["side"]])))
+        if found:
+            starts, stops, fps, sides, parts = zip(*found)
+            yield [np.full(len(found), key, dtype=np.int64), np.array(starts, dtype=np.int32), np.array(stops, dtype=np.int32),
+                   np.array(fps, dtype=np.int64), np.array(sides, dtype=np.int32), lists(np.concatenate(parts), map(len, parts))]
+
+
 def drop_repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the repeated paragraphs cut out of the text, and ``n_words``, ``n_removed``
     and ``n_spans``: words of the text, words removed, and runs of them.
 
-    Of each group of equal or similar paragraphs the first by (id, word) stays. Texts without a removed range are not shuffled.
+    Of each group of equal or similar paragraphs the first by (id, word) stays; the others go with the words around them that
+    are the same as around the one that stays. Texts without a removed range are not shuffled.
     Null text stays null, empty text empty, with zero counts. Rows with a null id are neither compared nor cut. Rows that
     share an id are cut where their own words match. Input columns named like the three counts are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "n_spans")
     ranges = written(repeated_paragraphs(docs, id_column, text_column), "ranges")
+    source = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), as_bytes(text_column).alias("text"))
     slots = written(bitmap(ranges, "id", 22), "bitmap")
     flagged = marked(docs.withColumn("__id", F.col(id_column).cast("long")), slots, "__id", 22)
     count = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = flagged.where(~F.col("marked")).select(*columns, count.alias("n_words"), zero.alias("n_removed"), zero.alias("n_spans"))
-    by_doc = ranges.groupBy("id").agg(F.collect_set(F.struct("start", "stop", "fp")).alias("__ranges")).withColumnRenamed("id", "__id")
+    by_doc = _with_words_around(ranges, source).groupBy("id").agg(F.collect_set(F.struct("start", "stop", "fp", "side", "words")).alias("__ranges")).withColumnRenamed("id", "__id")
     some = flagged.where("marked").join(by_doc, "__id", "left")
     return whole.unionByName(_without_ranges(some, docs, text_column))
 

@@ -229,6 +229,22 @@ def test_planted_passages_are_cut_and_clean_texts_stay(spark):
         assert not r.n_removed or passages[(i // 3) % 5] not in r.text
 
 
+def test_repeated_passages_are_cut_to_their_last_word(spark):
+    rng = random.Random(13)
+    passages = [prose(rng, n) for n in (51, 55, 60, 100)] + [prose(rng, 30) + " na" * 120 + " " + prose(rng, 30)]
+    rows, planted = [], []
+    for i in range(40):
+        own, passage = [f"{w}{i}" for w in prose(rng, 120).split()], passages[i % 5].split()
+        at = rng.randrange(10, 110)
+        rows.append((i, " ".join(own[:at] + passage + own[at:])))
+        planted.append((" ".join(own), len(passage)))
+    got = {r.doc_id: r for r in paragraph_dedup.drop_repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == rows[i][1] for i in range(5))
+    for i, (_, n) in list(enumerate(planted))[5:]:
+        # A paragraph over the border that is similar to a kept one goes whole, with a few words of the text.
+        assert n <= got[i].n_removed <= n + 5 and all(w.endswith(str(i)) for w in got[i].text.split())
+
+
 def test_copies_keep_one_and_awkward_texts_survive(spark, docs, texts):
     out = paragraph_dedup.drop_repeated_paragraphs(docs.withColumn("n_words", F.lit("clash")))
     assert out.columns[: len(docs.columns)] == docs.columns
