@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallycast.llm.bitmap import bitmap, marked
 from tallycast.llm.bpe import encode_documents
 from tallycast.llm.graph import written
 from tallycast.llm.language_id import learn_languages, predict_language
@@ -27,9 +28,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays. Rows without an id stay; equal ids stay together."""
+    """One document of each group of near-duplicates stays, and one of equal rows. Rows without an id stay; equal ids stay together."""
     gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    flagged = marked(docs.select(*COLUMNS), written(bitmap(several, "doc_id", 22), "bitmap"), "doc_id", 22)
+    once = flagged.where("not marked").drop("marked").unionByName(flagged.where("marked").drop("marked").dropDuplicates())
+    return once.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,12 +60,20 @@ def mix_sources(
     Null text has size 0 and takes nothing; a null source is a source of its own, the last one; an empty table or
     one without words has zero targets. Equal rows with the same id share one place. Other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return _mixed(docs, id_column, text_column, source_column, weights, repeats).drop("__source")
+
+
+def _size(text_column: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _mixed(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: Sequence[int], repeats: int) -> DataFrame:
+    """The rows of ``mix_sources`` with ``__source``; rows of one id, source and size share one place."""
     order = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     sized = written(docs.select(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), order.alias("order")), "sizes")
+        F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), order.alias("order")), "sizes")
     targets = written(_targets(sized, weights, repeats), "targets")
-    placed = sized.join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+    placed = sized.join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = placed.withColumn("slice", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     slices = placed.groupBy("k", "slice").agg(F.sum("size").alias("words"))
     earlier = F.coalesce(F.sum("words").over(W.partitionBy("k").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -87,7 +95,7 @@ def mix_sources(
     n = F.when(F.col("size") > 0, n).otherwise(0).cast("int")
     return queued.select(
         F.col("id").alias(id_column), "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"),
-        n.alias("copies"), finish(F.lit(0)).alias("virtual_finish"))
+        n.alias("copies"), finish(F.lit(0)).alias("virtual_finish"), F.col("source").alias("__source"))
 
 
 def _last_taken(copies: DataFrame, budget: int):
@@ -109,16 +117,21 @@ def _last_taken(copies: DataFrame, budget: int):
     return before.orderBy(*order).first() or {"finish": -1.0, "k": 0, "order": "", "id": None}
 
 
-def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS,
+) -> DataFrame:
     """The documents of the mix with their columns, each as often as it is taken, in ranges of virtual finish.
 
-    Rows that share an id are taken as often as the least taken of them; a null id is an id like any other.
+    Rows that share an id, also a null one, are taken each as often as the mix takes that row.
     """
-    chosen = mix_sources(docs, id_column, text_column, source_column, **options).where("copies > 0")
+    chosen = _mixed(docs, id_column, text_column, source_column, weights, repeats).where("copies > 0")
     one_pass = F.col("source_size") / F.col("target")
-    chosen = chosen.groupBy(F.col(id_column).alias("__id")).agg(
+    chosen = chosen.groupBy(F.col(id_column).alias("__id"), "__source", F.col("size").alias("__words")).agg(
         F.min("copies").alias("__copies"), F.min("virtual_finish").alias("__finish"), F.min(one_pass).alias("__pass"))
-    taken = docs.join(chosen, F.col(id_column).eqNullSafe(F.col("__id")))
+    sized = docs.withColumn("__size", _size(text_column))
+    taken = sized.join(chosen, F.col(id_column).eqNullSafe(F.col("__id")) & F.col(source_column).eqNullSafe(F.col("__source")) & (
+        F.col("__size") == F.col("__words")))
     repeated = taken.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     queued = repeated.withColumn("__finish", F.col("__finish") + F.col("__turn") * F.col("__pass"))
     return queued.repartitionByRange("__finish", "__id").sortWithinPartitions("__finish", "__id").select(*docs.columns)

@@ -40,6 +40,14 @@ def test_pipeline_of_nothing(spark, sf_dir):
     assert docs.count() == 0
 
 
+def test_one_of_equal_rows_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", "s", 33)] * 3 + [(2, text + " eight", "en", "s", 39), (2, "quite another text of six words", "en", "s", 31)]
+    df = spark.createDataFrame(rows + [(None, text, "en", "s", 33)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_one_of_each(spark, df, "").collect()
+    assert sum(r.doc_id == 1 for r in left) == 1 and sum(r.doc_id is None for r in left) == 1
+
+
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()

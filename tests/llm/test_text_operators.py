@@ -172,6 +172,16 @@ def test_mixing_against_a_plain_queue(spark, docs, texts):
     assert collections.Counter(r.doc_id for r in rows.collect()) == +collections.Counter({i: got[i].copies for i in got})
 
 
+def test_rows_of_one_id_are_mixed_each_on_its_own(spark):
+    rows = [(i // 3, " ".join(["w"] * (1 + i % 7 + 40 * (i % 3))), "ab"[i % 2]) for i in range(90)] + [(None, "w " * n, "a") for n in range(1, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = collections.Counter()
+    for r in mixing.mix_sources(df).collect():
+        plan[r.doc_id, r.size] += r.copies
+    got = collections.Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +plan and any(n == 0 for n in plan.values())
+
+
 def brute_spans(texts, length):
     seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
