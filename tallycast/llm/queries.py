@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallycast.llm.bpe import encode_documents
 from tallycast.llm.bwt_dedup import drop_repeated_strings
+from tallycast.llm.collocations import mine_collocations
 from tallycast.llm.cotraining import score_quality, train_quality
 from tallycast.llm.embedding_dedup import near_duplicate_vectors
 from tallycast.llm.hamming_search import TOP_K, embedding_top_k
@@ -16,6 +17,7 @@ from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
 from tallycast.llm.oracle_mixing import MIXING
+from tallycast.llm.oracle_phrases import PHRASES
 from tallycast.llm.paragraph_dedup import drop_repeated_paragraphs
 from tallycast.llm.url_rules import judge_urls
 
@@ -94,3 +96,11 @@ def op9_bpe_round_trip(spark, sf_dir):
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = PHRASES
