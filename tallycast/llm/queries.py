@@ -13,12 +13,15 @@ from tallycast.llm.collocations import mine_collocations
 from tallycast.llm.cotraining import score_quality, train_quality
 from tallycast.llm.embedding_dedup import near_duplicate_vectors
 from tallycast.llm.hamming_search import TOP_K, embedding_top_k
+from tallycast.llm.hard_negatives import mine_hard_negatives
 from tallycast.llm.language_id import learn_languages, predict_language
 from tallycast.llm.minhash_dedup import near_duplicates
 from tallycast.llm.mixing import mix_sources
 from tallycast.llm.oracle_mixing import MIXING
+from tallycast.llm.oracle_negatives import NEGATIVES
 from tallycast.llm.oracle_phrases import PHRASES
 from tallycast.llm.paragraph_dedup import drop_repeated_paragraphs
+from tallycast.llm.toxicity import score_toxicity, train_toxicity
 from tallycast.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,9 +101,27 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    known = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null").where(finite)
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    coded = known.select("vec_id", relabelled.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("code"))
+    return mine_hard_negatives(coded, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = NEGATIVES
+
+
 @query
 def op12_phrase_collocations(spark, sf_dir):
     return mine_collocations(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op12_phrase_collocations"] = PHRASES
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
