@@ -18,7 +18,8 @@ from tallycast.operators.dictionary import dense_ids
 LONGEST, LEAST, TOP = 5, 100, 2000
 NO_LANGUAGE = "und"
 DICTIONARY = 1 << 22  # words a task looks up at a time
-HELD_WORDS, HELD_KEYS = 400_000, 1 << 22  # counters that a task holds before it hands them on
+HELD_WORDS, HELD_KEYS = 200_000, 1 << 21  # counters that a task holds before it hands them on
+PART = 1 << 20  # word ids that a task counts at a time
 BUCKET = 1 << 20  # occurrences that one merging group is meant for
 LEAST_BITS, MOST_BITS = 16, 27  # of the bitmap of frequent phrases, at most 16 MB
 _PIECE, _SPACE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -81,13 +82,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
 
 
-def _hashed(rows) -> Iterator[np.ndarray]:
-    """Word hashes of many texts in order, with a zero before every piece."""
+def _hashed(rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of texts in order, with a zero before every piece, and the length of each text."""
     for held in chunks(rows):
-        _, _, _, hashes, new = _words(held)
+        _, start, _, hashes, new = _words(held)
+        at = np.arange(len(hashes)) + np.cumsum(new)
         out = np.zeros(len(hashes) + int(new.sum()), dtype=np.uint64)
-        out[np.arange(len(hashes)) + np.cumsum(new)] = hashes
-        yield out
+        out[at] = hashes
+        first = np.searchsorted(start, np.cumsum([0] + [len(text) + 1 for _, text in held]))
+        yield out, np.diff(np.append(at, len(out) + 1)[first] - 1)
 
 
 def _looked_up(hashes: np.ndarray, names: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -99,7 +102,7 @@ def _looked_up(hashes: np.ndarray, names: np.ndarray, ids: np.ndarray) -> np.nda
 
 
 def encode_words(docs: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
-    """``[ids]``: the texts as arrays of word ids, many texts a row, with zeros at the ends of pieces and for other words.
+    """``[ids]``: each text as an array of word ids, with zeros before every piece and for other words.
 
     Tasks look up at most 4 million words at a time. A larger vocabulary takes one pass over the hashes of the words for each 4 million.
     """
@@ -112,12 +115,12 @@ def encode_words(docs: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame
         return spark.sparkContext.broadcast((names[order], ids[order]))
 
     def whole(rows):
-        for hashes in _hashed(rows):
-            yield [lists(_looked_up(hashes, *table.value), [len(hashes)])]
+        for hashes, lengths in _hashed(rows):
+            yield [lists(_looked_up(hashes, *table.value), lengths)]
 
     def kept(rows):
-        for hashes in _hashed(rows):
-            yield [lists(signed(hashes), [len(hashes)]), lists(np.zeros(len(hashes), dtype=np.int64), [len(hashes)])]
+        for hashes, lengths in _hashed(rows):
+            yield [lists(signed(hashes), lengths), lists(np.zeros(len(hashes), dtype=np.int64), lengths)]
 
     if size <= DICTIONARY:
         table = dictionary(0)
@@ -126,13 +129,13 @@ def encode_words(docs: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame
     for low in range(0, size, DICTIONARY):
         table = dictionary(low)
 
-        def filled(rows, table=table):
-            for hashes, ids in rows:
-                hashes, ids = np.array(hashes, dtype=np.int64), np.array(ids, dtype=np.int64)
-                ids = np.maximum(ids, _looked_up(hashes.view(np.uint64), *table.value))
-                yield [lists(hashes, [len(hashes)]), lists(ids, [len(ids)])]
+        def filled(batches, table=table):
+            for batch in batches:
+                hashes, ids = batch.column("hashes"), batch.column("ids")
+                now = np.maximum(ids.flatten().to_numpy(), _looked_up(hashes.flatten().to_numpy().view(np.uint64), *table.value))
+                yield pa.RecordBatch.from_arrays([hashes, lists(now, np.diff(ids.offsets.to_numpy()))], names=["hashes", "ids"])
 
-        coded = written(map_arrow(coded, filled, "hashes array<long>, ids array<long>"), "hashed")
+        coded = written(coded.mapInArrow(filled, "hashes array<long>, ids array<long>"), "hashed")
     return coded.select("ids")
 
 
@@ -175,10 +178,17 @@ def count_phrases(coded: DataFrame, size: int, id_bits: int, buckets: int, least
             yield [pa.array([q for q, _ in some], pa.int32()), *[lists(signed(np.concatenate([run.words[i] for _, run in some])), n) for i in range(columns)],
                    lists(np.concatenate([run.counts for _, run in some]).astype(np.int64), n)]
 
-    def counted(rows):
+    def parts(batches):
+        for batch in batches:
+            column = batch.column("ids")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            cuts = np.unique(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1] + PART, PART)).clip(0, len(offsets) - 1))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield values[offsets[a] : offsets[b]]
+
+    def counted(batches):
         filters, held = [], 0
-        for (ids,) in rows:
-            ids = np.asarray(ids, dtype=np.int64)
+        for ids in parts(batches):
             if len(ids) < size:
                 continue
             known = ids > 0
@@ -207,7 +217,8 @@ def count_phrases(coded: DataFrame, size: int, id_bits: int, buckets: int, least
         return pa.table({"ids": lists(ids, [size] * len(out)), "f": out.counts, "key": signed(out.words[0])})
 
     schema = ", ".join(["bucket int", *[f"{name} array<long>" for name in names], "counts array<long>"])
-    shards = map_arrow(coded, counted, schema)
+    columns_out = [part.split()[0] for part in schema.split(", ")]
+    shards = coded.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(c, names=columns_out) for c in counted(batches)), schema)
     return written(shards.groupBy("bucket").applyInArrow(merged, "ids array<long>, f long, key long"), f"phrases{size}")
 
 
