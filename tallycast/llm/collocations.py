@@ -191,12 +191,13 @@ def count_phrases(coded: DataFrame, size: int, id_bits: int, buckets: int, least
         for ids in parts(batches):
             if len(ids) < size:
                 continue
+            below = size if seen is None else size - 1
             known = ids > 0
-            whole = np.logical_and.reduce([known[i : len(ids) - size + 1 + i] for i in range(size)])
-            at = np.flatnonzero(whole)
+            at = np.flatnonzero(np.logical_and.reduce([known[i : len(ids) - below + 1 + i] for i in range(below)]))
             if seen is not None:
-                at = at[frequent(ids, at)]
-                at = at[frequent(ids, at + 1)]
+                usual = np.zeros(len(ids) + 1, dtype=bool)
+                usual[at[frequent(ids, at)]] = True
+                at = np.flatnonzero(usual[:-1] & usual[1:])
             if not len(at):
                 continue
             filters.append(CountingFilter.of(pack([ids[at + i] for i in range(size)], id_bits)))
