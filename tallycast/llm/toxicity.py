@@ -15,26 +15,26 @@ from tallycast.llm.graph import written
 from tallycast.llm.language_id import held_out
 from tallycast.llm.text import _STEPS, as_bytes, chunks, lists, map_arrow, mix
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 BINS = 1 << 20
-FEATURES = 1 << 14
+FEATURES = 1 << 12
 SMOOTHING = 1.0
 MAX_LABELLED = 20_000
-PENALTY, ITERATIONS = 1e-4, 60
+PENALTY, ITERATIONS = 1e-3, 60
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
-def gram_bins(held: list[tuple], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bin of every distinct character n-gram of many texts ``(key, bytes)``, in order of the text.
+def gram_bins(held: list[tuple], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, bin and value of every distinct character n-gram of many texts ``(key, bytes)``, by text.
 
-    Characters are bytes; A-Z are lower-cased and every text has a space before and after it, so that n-grams see the ends of
-    words. ``chosen`` maps bins to features, or to -1 for bins that do not matter.
+    Characters are bytes; A-Z are lower-cased, line ends are spaces and every text has a space before and after it, so that n-grams see the ends of
+    words. The value is the root of the n-gram's occurrences per thousand characters. ``chosen`` maps bins to features, or to -1 for bins that do not matter.
     """
     data = _LOWER[np.frombuffer(b" " + b"  ".join(text for _, text in held) + b" ", dtype=np.uint8)].astype(np.uint64) + np.uint64(1)
-    ends = np.cumsum([len(text) + 2 for _, text in held])
-    owner = np.repeat(np.arange(len(held)), np.diff(ends, prepend=0))
+    sizes = np.array([len(text) + 2 for _, text in held])
+    owner = np.repeat(np.arange(len(held)), sizes)
     found = []
     with np.errstate(over="ignore"):
         for n in GRAMS:
@@ -47,9 +47,10 @@ def gram_bins(held: list[tuple], chosen: np.ndarray | None = None) -> tuple[np.n
             if chosen is not None:
                 bins = chosen[bins]
                 at, bins = at[bins >= 0], bins[bins >= 0]
-            found.append(np.unique(owner[at] * BINS + bins))
-    both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-    return both // BINS, both % BINS
+            found.append(owner[at] * BINS + bins)
+    both, counts = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), return_counts=True)
+    texts = both // BINS
+    return texts, both % BINS, np.sqrt(1000 * counts / sizes[texts])
 
 
 @dataclass
@@ -62,44 +63,48 @@ class ToxicityModel:
     share: float
 
     def scores(self, held: list[tuple]) -> np.ndarray:
-        texts, features = gram_bins(held, self.chosen)
-        margin = np.bincount(texts, weights=self.weights[features], minlength=len(held)) + self.offset
+        texts, features, values = gram_bins(held, self.chosen)
+        margin = np.bincount(texts, weights=self.weights[features] * values, minlength=len(held)) + self.offset
         return 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
 
 
-def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The naive Bayes log ratio of each feature, and how many of its standard errors it is away from zero.
+def log_count_ratios(sums: np.ndarray, documents: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The naive Bayes log ratio of each feature, toxic to clean, and how many standard errors of its presence lie between the classes.
 
-    ``toxic`` and ``clean`` are numbers of documents of a class with the feature.
+    Rows are the classes clean and toxic: ``sums`` of the values of a feature, ``documents`` with it, ``sizes`` of the classes.
     """
-    ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
-    return ratio, ratio / np.sqrt(1 / (toxic + SMOOTHING) + 1 / (clean + SMOOTHING))
+    shares = np.log((sums + SMOOTHING) / (sizes[:, None] + 2 * SMOOTHING))
+    present = (documents + SMOOTHING) / (sizes[:, None] + 2 * SMOOTHING)
+    error = np.sqrt((present * (1 - present) / (sizes[:, None] + 2 * SMOOTHING)).sum(axis=0))
+    return shares[1] - shares[0], (present[1] - present[0]) / error
 
 
-def _document_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of either class with each bin. Tasks hand over the bins they met, summed by Spark."""
+def _class_sums(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per class and bin the sum of values and the number of documents. Tasks hand over the bins they met, summed by Spark."""
 
     def counted(rows):
-        totals = np.zeros((2, BINS), dtype=np.int64)
+        sums, documents = np.zeros((2, BINS)), np.zeros((2, BINS), dtype=np.int64)
         for held in chunks((label, text or b"") for label, text in rows):
-            texts, bins = gram_bins(held)
+            texts, bins, values = gram_bins(held)
             labels = np.array([label for label, _ in held], dtype=np.int64)[texts]
-            totals += np.bincount(labels * BINS + bins, minlength=2 * BINS).reshape(2, BINS)
-        some = np.flatnonzero(totals.any(axis=0))
-        yield [some, totals[1, some], totals[0, some]]
+            sums += np.bincount(labels * BINS + bins, weights=values, minlength=2 * BINS).reshape(2, BINS)
+            documents += np.bincount(labels * BINS + bins, minlength=2 * BINS).reshape(2, BINS)
+        some = np.flatnonzero(documents.any(axis=0))
+        yield [some, sums[0, some], sums[1, some], documents[0, some], documents[1, some]]
 
-    parts = map_arrow(labelled.select("label", "text"), counted, "bin long, toxic long, clean long")
-    table = parts.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    toxic, clean = np.zeros(BINS), np.zeros(BINS)
-    toxic[table.column("bin").to_numpy()], clean[table.column("bin").to_numpy()] = table.column("toxic").to_numpy(), table.column("clean").to_numpy()
-    return toxic, clean
+    names = ("clean", "toxic", "n_clean", "n_toxic")
+    parts = map_arrow(labelled.select("label", "text"), counted, "bin long, clean double, toxic double, n_clean long, n_toxic long")
+    table = parts.groupBy("bin").agg(*[F.sum(name).alias(name) for name in names]).toArrow()
+    out = np.zeros((4, BINS))
+    out[:, table.column("bin").to_numpy()] = [table.column(name).to_numpy() for name in names]
+    return out[:2], out[2:]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on the whole texts of at most 20,000 labelled documents outside the held-out fifth, drawn by a hash of the id.
 
-    The documents of each class that hold an n-gram give its log-count ratio. The 16,384 bins whose ratio is
-    furthest from zero by its standard error become features, present or not, times their ratio; logistic regression weighs them. An id with
+    The sums of an n-gram's values in the documents of each class give its log-count ratio. The 4096 bins whose presence differs
+    most between the classes, by its standard error, become features: the value times the ratio. Logistic regression weighs them. An id with
     several labels counts as the majority, toxic at a tie, and of rows that share an id the one of the least text hash is used. Null labels and ids teach nothing. With labels of
     one class or none every score is the share of toxic labels, 0 without labels.
     """
@@ -116,9 +121,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     n, n_toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n_toxic in (0, n):
         return ToxicityModel(None, np.zeros(0), 0.0, n_toxic / n if n else 0.0)
-    toxic, clean = _document_counts(labelled)
-    ratio, distance = log_count_ratios(toxic, clean, n_toxic, n - n_toxic)
-    distance[toxic + clean == 0] = 0
+    sums, documents = _class_sums(labelled)
+    ratio, distance = log_count_ratios(sums, documents, np.array([n - n_toxic, n_toxic], dtype=float))
+    distance[documents.sum(axis=0) == 0] = 0
     best = np.argsort(-np.abs(distance), kind="stable")[:FEATURES]
     best = best[np.abs(distance[best]) > 0]
     chosen = np.full(BINS, -1, dtype=np.int32)
@@ -126,13 +131,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
     def featured(rows):
         for held in chunks((label, text) for label, text in rows):
-            texts, features = gram_bins(held, chosen)
-            yield [pa.array([float(label) for label, _ in held]), lists(features.astype(np.int32), np.bincount(texts, minlength=len(held)))]
-
-    sparse = F.udf(lambda at: Vectors.sparse(len(best), at, [ratio_of[i] for i in at]), VectorUDT())
-    ratio_of = ratio[best].tolist()
-    rows = written(map_arrow(labelled.select("label", "text"), featured, "label double, at array<int>"), "features")
-    fit = LogisticRegression(maxIter=ITERATIONS, regParam=PENALTY, standardization=False).fit(rows.select("label", sparse("at").alias("features")))
+            texts, features, values = gram_bins(held, chosen)
+            n_features = np.bincount(texts, minlength=len(held))
+            yield [pa.array([float(label) for label, _ in held]), lists(features.astype(np.int32), n_features), lists(values * scale[features], n_features)]
+
+    scale = ratio[best]
+    rows = written(map_arrow(labelled.select("label", "text"), featured, "label double, at array<int>, value array<double>"), "features")
+    sparse = F.udf(lambda at, value: Vectors.sparse(len(scale), at, value), VectorUDT())  # of the bounded sample alone
+    fit = LogisticRegression(maxIter=ITERATIONS, regParam=PENALTY, standardization=False).fit(rows.select("label", sparse("at", "value").alias("features")))
     return ToxicityModel(chosen, fit.coefficients.toArray() * ratio[best], float(fit.intercept), n_toxic / n)
 
 
