@@ -149,7 +149,7 @@ def search(anchors: _Side, rows: _Side, allowed, low: np.ndarray, high: np.ndarr
     return [(i, w, *found) for (i, w), found in best.items()]
 
 
-def _found(anchors: _Side, hits: list) -> pa.Table:
+def _found(anchors: _Side | None, hits: list) -> pa.Table:
     sizes = [len(scores) for _, _, scores, _ in hits]
     columns = {
         "key": np.repeat(np.array([anchors.key[i] for i, _, _, _ in hits], dtype=np.int64), sizes),
@@ -184,13 +184,17 @@ def _negatives(k: int, n_positives: int):
 
 def _blocked(anchors: DataFrame, rows: DataFrame, blocks: int, slices: int, function) -> DataFrame:
     """Every block of anchors with every slice of rows, as a group of bounded size each."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return function(left, right) if len(left) and len(right) else _found(None, [])
+
     own = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")
     left = anchors.withColumn("block", own).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(slices)).cast("int")
     rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, although both sides come from one table
     right = rows.withColumn("slice", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
-    return pairs.applyInArrow(function, "key long, place int, score long, other long")
+    return pairs.applyInArrow(both, "key long, place int, score long, other long")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
