@@ -81,7 +81,7 @@ panel AS MATERIALIZED (
   SELECT *, CASE WHEN d_num > (SELECT val_end FROM bounds) THEN 'test'
                  WHEN d_num > (SELECT train_end FROM bounds) THEN 'val' ELSE 'train' END AS split
   FROM joined WHERE sell_price IS NOT NULL),
-trainval AS (SELECT * FROM panel WHERE split <> 'test')"""
+trainval AS MATERIALIZED (SELECT * FROM panel WHERE split <> 'test')"""
 
 
 def sql(name: str, grain: str, ctes: list[str], select: str) -> None:
@@ -153,7 +153,7 @@ def scores(forecast: str, rows: str) -> str:
     """Scored rows, then one row per model, origin and series. ``forecast`` selects model and quantiles."""
     return f"""
 forecasts AS ({forecast}),
-scored AS (
+scored AS MATERIALIZED (
   SELECT f.*, p.sales FROM forecasts f JOIN {rows} p ON p.id = f.id AND p.d_num = f.d_num),
 scales AS (SELECT origin, id, avg(abs(resid)) AS scale FROM history GROUP BY origin, id),
 losses AS (
@@ -245,7 +245,7 @@ ROLLED = ["rolling_mean_7", "rolling_std_7", "rolling_mean_28", "rolling_std_28"
 
 def engineered(rows: str) -> str:
     return f"""
-engineered AS (
+engineered AS MATERIALIZED (
   SELECT id, cat_id, d_num, CAST(sales AS DOUBLE) AS sales, sell_price, {SNAP} AS snap, wday, month, year,
          {PRICE_FLAG} AS price_change_flag, {COLD_FLAG} AS coldstart_flag, {ROLLING},
          lag(sales, 7) OVER s AS lag_7, lag(sales, 28) OVER s AS lag_28 FROM {rows} {WINDOWS})"""
@@ -396,13 +396,14 @@ sql("global_predict_rows", "fine", ["""ahead AS (
   SELECT s.*, CAST(NULL AS INTEGER) AS sales, a.d_num, wday, month, year, "snap_CA", "snap_TX", "snap_WI", sell_price
   FROM (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM panel) s CROSS JOIN all_days a JOIN calendar c ON c.d = 'd_' || a.d_num
   LEFT JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk WHERE a.d_num > (SELECT m FROM bounds))""", """
-extended AS (SELECT id, cat_id, state_id, d_num, sales, sell_price, wday, month, year, "snap_CA", "snap_TX", "snap_WI" FROM panel
+extended AS MATERIALIZED (SELECT id, cat_id, state_id, d_num, sales, sell_price, wday, month, year, "snap_CA", "snap_TX", "snap_WI" FROM panel
   UNION ALL SELECT id, cat_id, state_id, d_num, sales, sell_price, wday, month, year, "snap_CA", "snap_TX", "snap_WI" FROM ahead)""",
     engineered("extended"),
-    "starts AS (SELECT train_end AS origin FROM bounds UNION ALL SELECT val_end FROM bounds UNION ALL SELECT m FROM bounds)"],
-    f"""SELECT origin, e.id, CAST(t.d_num - origin AS INTEGER) AS h, t.d_num AS target_day, {r('e.sell_price')} AS sell_price, e.snap,
+    "starts AS (SELECT train_end AS origin FROM bounds UNION ALL SELECT val_end FROM bounds UNION ALL SELECT m FROM bounds)",
+    "based AS MATERIALIZED (SELECT e.*, origin, unnest(generate_series(1, 28)) AS step FROM engineered e JOIN starts ON e.d_num = origin)"],
+    f"""SELECT origin, e.id, CAST(step AS INTEGER) AS h, t.d_num AS target_day, {r('e.sell_price')} AS sell_price, e.snap,
   e.coldstart_flag, {r('e.rolling_mean_7')} AS rolling_mean_7, {r('e.rolling_std_28')} AS rolling_std_28, {r('e.lag_7')} AS lag_7, {r('e.lag_28')} AS lag_28
-  FROM engineered e JOIN starts ON e.d_num = origin JOIN extended t ON t.id = e.id AND t.d_num BETWEEN origin + 1 AND origin + 28""")
+  FROM based e JOIN extended t ON t.id = e.id AND t.d_num = origin + step""")
 sql("recent_mean", "coarse", [ORIGINS, history("trainval"), """recent AS (
   SELECT origin, id, CAST(min(sales) AS DOUBLE) AS lo, avg(sales) AS mid, CAST(max(sales) AS DOUBLE) AS hi
   FROM history WHERE back <= 28 AND n >= 28 GROUP BY origin, id)"""],
@@ -438,7 +439,7 @@ sql("coldstart_comparison", "fine", COLD_SCORES, " UNION ALL ".join(METRIC.forma
 # --- decisions: the day-by-day recursion, written as a recursive query ------------------------------------
 
 MERGED = [VAL_ORIGIN, history("trainval"), NAIVE, """
-merged AS (SELECT p.id, p.d_num, p.sales, p.sell_price, q10, q50, q90 FROM panel p JOIN naive n ON n.id = p.id AND n.d_num = p.d_num)"""]
+merged AS MATERIALIZED (SELECT p.id, p.d_num, p.sales, p.sell_price, q10, q50, q90 FROM panel p JOIN naive n ON n.id = p.id AND n.d_num = p.d_num)"""]
 POLICY = MERGED + ["""
 numbered AS (
   SELECT policy, order_up_to, id, d_num, sales, sell_price, place,
