@@ -20,6 +20,7 @@ BINS = 1 << 20
 FEATURES = 1 << 12
 SMOOTHING = 1.0
 MAX_LABELLED = 20_000
+CHUNK = 1 << 18  # bytes of text that a task takes apart at a time
 PENALTY, ITERATIONS = 1e-3, 60
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,7 +85,7 @@ def _class_sums(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(rows):
         sums, documents = np.zeros((2, BINS)), np.zeros((2, BINS), dtype=np.int64)
-        for held in chunks((label, text or b"") for label, text in rows):
+        for held in chunks(((label, text or b"") for label, text in rows), CHUNK):
             texts, bins, values = gram_bins(held)
             labels = np.array([label for label, _ in held], dtype=np.int64)[texts]
             sums += np.bincount(labels * BINS + bins, weights=values, minlength=2 * BINS).reshape(2, BINS)
@@ -130,7 +131,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     chosen[best] = np.arange(len(best))
 
     def featured(rows):
-        for held in chunks((label, text) for label, text in rows):
+        for held in chunks(((label, text) for label, text in rows), CHUNK):
             texts, features, values = gram_bins(held, chosen)
             n_features = np.bincount(texts, minlength=len(held))
             yield [pa.array([float(label) for label, _ in held]), lists(features.astype(np.int32), n_features), lists(values * scale[features], n_features)]
@@ -152,7 +153,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def scored(rows):
-        for held in chunks((key, text or b"") for key, text in rows):
+        for held in chunks(((key, text or b"") for key, text in rows), CHUNK):
             own = shared.value
             yield [pa.array([key for key, _ in held], pa.int64()), np.full(len(held), own.share) if own.chosen is None else own.scores(held)]
 
