@@ -14,7 +14,9 @@ from tallycast.functions.names import (
 )
 from tallycast.functions.quantiles import exact_quantile, repair_quantiles
 from tallycast.operators import coldstart, features, forecasters, ingest, metrics, policy, reshape, training_data
-from tallycast.operators.global_forecast import backtest_global, forecast_global, held_out_windows, predict_rows, residual_bands as global_bands
+from tallycast.operators.global_forecast import (
+    backtest_global, forecast_global, held_out_windows, predict_rows, quantile_forecast, residual_bands as global_bands,
+)
 from tallycast.operators.holt_winters import holt_winters as holt_winters_forecast
 from tallycast.operators.origins import generate_origins, origins_table
 from tallycast.operators.sampling import stratified_sample
@@ -359,6 +361,13 @@ def global_forecast(ws):
     return forecast_global(ws.global_model(), ws.engineered(), ws.days()["train"])
 
 
+@query
+def global_quantiles(ws):
+    """Seven quantiles of every series and day after the end of train, from the leaves of all trees."""
+    levels = {"q05": 0.05, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95}
+    return quantile_forecast(ws.global_model(), ws.engineered(), ws.days()["train"], levels)
+
+
 @query
 def score_later_origin(ws):
     """The same fitted model on two later blocks: the test days and the days after all data."""

@@ -53,6 +53,30 @@ def training_panel(
     return horizon_rows(recent, horizon, ahead_columns, where=regular | only_latest).drop("earliest")
 
 
+def origin_panels(
+    engineered: DataFrame, origins: list[int], horizon: int = HORIZON, stride: int = 7, lookback_days: int = 180,
+    ahead_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """The union of :func:`training_panel` at every origin, tagged with ``origin``, from one pass over the history.
+
+    The rows ahead of a candidate do not depend on the origin; those past an origin are dropped for it.
+    """
+    history = engineered.where(F.col("d_num") <= max(origins))
+    first_day = history.agg(F.coalesce(F.min("d_num"), F.lit(0))).first()[0]
+
+    def candidate(o: int):
+        earliest, latest = max(first_day, o - lookback_days), o - horizon
+        if earliest > latest:
+            return F.col("d_num") == latest
+        return F.col("d_num").between(earliest, latest) & ((F.col("d_num") - earliest) % stride == 0)
+
+    recent = history.where(F.col("d_num") >= min(min(o - lookback_days, o - horizon) for o in origins))
+    serves = F.filter(F.array(*[F.when(candidate(o), F.lit(o)) for o in origins]), lambda o: o.isNotNull())
+    tagged = recent.withColumn("serves", serves)
+    rows = horizon_rows(tagged, horizon, ahead_columns, where=F.size("serves") > 0)
+    return rows.withColumn("origin", F.explode("serves")).drop("serves").where(F.col("target_day") <= F.col("origin"))
+
+
 def training_windows(
     panel: DataFrame, max_encoder: int = 60, min_encoder: int = 30, max_decoder: int = HORIZON,
     predict: bool = False, lag_rows: int = 0,

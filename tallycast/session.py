@@ -21,6 +21,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         # Rows already partitioned by series may be joined on (origin, id, day) without another exchange.
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # Models of several origins are fitted at the same time, each in a pool of its own.
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -149,9 +149,97 @@ def test_every_series_is_forecast_though_few_are_fitted(spark):
     assert forecast_global(model, engineered, 122).select("id").distinct().count() == 2
 
 
-def test_boosting_goes_on_while_the_held_out_error_falls(spark, fitted):
-    """Skewed demand in the hundreds, where a round gains far less than a hundredth of the error."""
+def test_few_trees_reach_the_error_of_two_hundred(spark, fitted):
+    """Skewed demand in the hundreds: scaled targets let a tree move the median far enough."""
+    from tallycast.operators.global_forecast import assemble, fit_trees
+
     data, _, _ = fitted
     skewed = data.withColumn("sales", F.floor(-100 * F.log(1 - (F.pmod(F.xxhash64("id", "d_num"), F.lit(1000)) + 0.5) / 1001)).cast("double"))
-    model = fit_global(features.engineer_features(skewed), 122, trees=10, depth=2)
-    assert model.pipeline.stages[-1].getNumTrees >= 8
+    windows, stages = assemble(features.engineer_features(skewed), [122])
+    held = windows.where("held_out")
+    error = lambda model: model.transform(held).agg(F.avg(F.abs(F.col("target") - F.col("point")))).first()[0]
+    few, many = fit_trees(windows, stages, depth=2)[0], fit_trees(windows, stages, trees=200, depth=2, learning_rate=0.05)[0]
+    assert few.getNumTrees > 1 and error(few) <= 1.02 * error(many)
+
+
+def test_leaf_quantiles_against_the_training_targets(spark, fitted):
+    """The quantile of all trees' leaf targets, each leaf with the weight of a tree, by plain lists."""
+    import numpy as np
+
+    from tallycast.operators import global_forecast as g
+
+    _, engineered, model = fitted
+    windows, _ = g.assemble(engineered, [122])
+    forest = model.pipeline.stages[-1]
+    targets = {}
+    for row in forest.transform(windows).collect():
+        for tree, leaf in enumerate(row.leaf_ids):
+            targets.setdefault((tree, int(leaf)), []).append(row.target)
+    stored = {(r.tree, r.leaf): r for r in model.leaves.collect()}
+    assert {k: len(v) for k, v in targets.items()} == {k: r.n for k, r in stored.items()}
+    points = {k: np.sort(v)[[max(int(np.ceil((i + 0.5) / g.LEAF_POINTS * len(v))) - 1, 0) for i in range(g.LEAF_POINTS)]] for k, v in targets.items()}
+    assert all(np.allclose(points[k], r.points) for k, r in stored.items())
+    levels = {"low": 0.05, "mid": 0.5, "high": 0.95}
+    rows = g.predict_rows(engineered, 122)
+    for row in g.leaf_quantiles(model, rows, levels).collect():
+        pool = np.sort(np.concatenate([points[tree, int(leaf)] for tree, leaf in enumerate(row.leaf_ids)]))
+        scale = np.sqrt(max(row.rolling_mean_28, 0) + 1)
+        for name, level in levels.items():
+            assert row[name] == pytest.approx(pool[int(np.floor((len(pool) - 1) * level + 0.5))] * scale)
+
+
+def test_bands_cover_held_out_days_and_differ_inside_a_segment(spark):
+    """Two groups of one volume segment, one steady and one restless; continuous demand, so that coverage has no ties."""
+    from tallycast.operators.global_forecast import backtest_global
+
+    noise = lambda salt: (F.pmod(F.xxhash64("id", "d_num", F.lit(salt)), F.lit(10_000)) + 0.5) / 10_001
+    ids = spark.range(60).select(F.format_string("S%02d", "id").alias("id"), (F.col("id") % 2).alias("restless"))
+    days = spark.range(1, 461).select(F.col("id").cast("int").alias("d_num"))
+    spread = F.when(F.col("restless") == 1, 8.0).otherwise(1.0)
+    panel = ids.crossJoin(days).withColumn("sales", 20 + spread * (noise(1) + noise(2) + noise(3) - 1.5))
+    for name in ("item_id", "dept_id", "cat_id", "store_id", "state_id", "weekday", "event_name_1", "event_type_1", "event_name_2", "event_type_2"):
+        panel = panel.withColumn(name, F.lit("x"))
+    for name in ("snap_CA", "snap_TX", "snap_WI", "wday", "month", "year"):
+        panel = panel.withColumn(name, F.lit(1))
+    engineered = features.engineer_features(panel.withColumn("sell_price", F.lit(1.0))).checkpoint()
+    out = backtest_global(engineered, [376, 404, 432], trees=10, depth=3).join(panel.select("id", "d_num", "sales", "restless"), ["id", "d_num"])
+    covered, n = out.agg(F.avg(F.col("sales").between(F.col("q10"), F.col("q90")).cast("int")), F.count("*")).first()
+    assert n == 3 * 60 * 28 and abs(covered - 0.8) < 0.03
+    width = {r.restless: r.w for r in out.groupBy("restless").agg(F.avg(F.col("q90") - F.col("q10")).alias("w")).collect()}
+    assert width[1] > 3 * width[0]
+
+
+def test_origins_fitted_together_equal_origins_fitted_alone(spark, fitted):
+    from tallycast.operators.global_forecast import backtest_global
+
+    _, engineered, _ = fitted
+    together = backtest_global(engineered, [110, 122], trees=3, depth=2).where("origin = 110")
+    alone = backtest_global(engineered, [110], trees=3, depth=2)
+    assert sorted(together.collect()) == sorted(alone.collect()) and alone.count() == 56
+
+
+def test_windows_of_all_origins_equal_those_of_each(spark):
+    engineered = features.engineer_features(global_panel(spark).where("not (id = 'S1' and d_num between 40 and 45)"))
+    columns = ["id", "d_num", "h", "target", "target_day"]
+    for origins in ([30, 90, 122], [20], [150]):
+        tagged = training_data.origin_panels(engineered, origins, lookback_days=60).select("origin", *columns).collect()
+        apart = [(o, *r) for o in origins for r in training_data.training_panel(engineered, o, lookback_days=60).select(*columns).collect()]
+        assert sorted(map(tuple, tagged)) == sorted(apart)
+
+
+def test_a_fit_that_fails_reports_its_error(spark, fitted):
+    from tallycast.operators.global_forecast import fit_origins
+
+    _, engineered, _ = fitted
+    with pytest.raises(Exception):
+        fit_origins(engineered, [110, 122], trees=0)
+
+
+def test_a_saved_model_keeps_its_choices(spark):
+    engineered = features.engineer_features(global_panel(spark))
+    model = fit_global(engineered, 122, horizon=14, use_lags=False, use_ahead=True, trees=3, depth=2)
+    path = scratch_path(spark, "model")
+    save_global(model, path)
+    again = load_global(spark, path)
+    assert (again.use_lags, again.horizon, again.use_ahead) == (False, 14, True)
+    assert sorted(forecast_global(again, engineered, 122).collect()) == sorted(forecast_global(model, engineered, 122).collect())
