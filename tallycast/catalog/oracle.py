@@ -392,6 +392,15 @@ UNION ALL SELECT 'training_target_inside_held_out', count(*), count(*) FILTER (W
 UNION ALL SELECT 'price_from_later_sales', count(*), count(*) FILTER (WHERE sell_price IS DISTINCT FROM price_by_origin) FROM repriced
 UNION ALL SELECT 'forecast_inside_history', count(*), count(*) FILTER (WHERE d_num <= origin) FROM naive""")
 
+COUNT_MEAN = """-0.5 + 0.125 * log_lag_1 + 0.25 * log_lag_7 + 0.125 * log_lag_28 + 0.25 * log_mean_7 + 0.25 * log_mean_28 + 0.0625 * log_scale
+  + 0.0625 * snap + CASE WHEN wday > 1 THEN wday / 64.0::DOUBLE ELSE 0 END + CASE state_id WHEN 'TX' THEN 0.125 WHEN 'WI' THEN -0.25 ELSE 0 END"""
+sql("count_one_step", "coarse", [f"""terms AS (
+  SELECT id, d_num, wday, state_id, {SNAP} AS snap, ln(1 + lag(sales, 1) OVER s) AS log_lag_1, ln(1 + lag(sales, 7) OVER s) AS log_lag_7,
+         ln(1 + lag(sales, 28) OVER s) AS log_lag_28, ln(1 + avg(sales) OVER w7) AS log_mean_7, ln(1 + avg(sales) OVER w28) AS log_mean_28,
+         ln(1 + coalesce(avg(CASE WHEN d_num <= train_end THEN sales END) OVER (PARTITION BY id), 0)) AS log_scale, count(sales) OVER w28 AS n_before
+  FROM trainval, bounds {WINDOWS})"""],
+    f"SELECT id, d_num, {rounded('log_lag_28', 'log_mean_7', 'log_scale')}, {r(f'exp({COUNT_MEAN})')} AS mean FROM terms WHERE n_before = 28")
+
 sql("global_predict_rows", "fine", ["""ahead AS (
   SELECT s.*, CAST(NULL AS INTEGER) AS sales, a.d_num, wday, month, year, "snap_CA", "snap_TX", "snap_WI", sell_price
   FROM (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM panel) s CROSS JOIN all_days a JOIN calendar c ON c.d = 'd_' || a.d_num

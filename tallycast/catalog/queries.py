@@ -13,7 +13,7 @@ from tallycast.functions.names import (
     CALENDAR_CATEGORICALS, CALENDAR_COLUMNS, HORIZON, ID_COLUMNS, QUANTILES, STATIC_CATEGORICALS,
 )
 from tallycast.functions.quantiles import exact_quantile, repair_quantiles
-from tallycast.operators import coldstart, features, forecasters, ingest, metrics, policy, reshape, training_data
+from tallycast.operators import coldstart, count_forecast as counts, features, forecasters, ingest, metrics, policy, reshape, training_data
 from tallycast.operators.global_forecast import (
     backtest_global, forecast_global, held_out_windows, predict_rows, quantile_forecast, residual_bands as global_bands,
 )
@@ -377,6 +377,27 @@ def score_later_origin(ws):
     )
 
 
+@query
+def count_forecast(ws):
+    """The negative binomial model at the end of train: quantiles over sampled paths of every series."""
+    origin = ws.days()["train"]
+    model = counts.fit_counts(ws.engineered(), origin, fit_ids=ws.fit_series())
+    return counts.forecast_counts(model, ws.engineered(), origin)
+
+
+#: Stated coefficients for the one-step mean, so that it can be checked without a fit.
+STATED_COUNTS = counts.CountModel(
+    {"log_lag_1": 0.125, "log_lag_7": 0.25, "log_lag_28": 0.125, "log_mean_7": 0.25, "log_mean_28": 0.25, "log_scale": 0.0625, "snap": 0.0625,
+     **{f"wday_{d}": d / 64 for d in range(2, 8)}}, {"TX": 0.125, "WI": -0.25}, -0.5, 0.5)
+
+
+@query
+def count_one_step(ws):
+    """The mean demand of every series and day by the days before it, under stated coefficients."""
+    terms = counts.count_terms(features.engineer_features(ws.trainval("coarse")), ws.days()["train"])
+    return counts.one_step_mean(STATED_COUNTS, terms).select("id", "d_num", "log_lag_28", "log_mean_7", "log_scale", "mean")
+
+
 @query
 def global_predict_rows(ws):
     """What the global model predicts from, at the end of train and at both later blocks."""
