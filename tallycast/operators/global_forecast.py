@@ -31,7 +31,7 @@ MISSING = -1.0
 
 # A leaf's targets are kept as so many quantiles, so the table of leaves has trees * 2 ** depth * LEAF_POINTS numbers at most.
 LEAF_POINTS = 50
-TREES, DEPTH, RATE, TOLERANCE = 40, 5, 0.2, 0.001
+TREES, DEPTH, RATE, TOLERANCE = 20, 5, 0.3, 0.001
 
 
 @dataclass
