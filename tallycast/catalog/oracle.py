@@ -320,6 +320,39 @@ FORECAST = f"CAST(origin AS BIGINT) AS origin, id, CAST(d_num AS BIGINT) AS d_nu
 sql("seasonal_naive", "coarse", [ORIGINS, history("trainval"), NAIVE], f"SELECT {FORECAST} FROM naive")
 sql("trend_weekly", "coarse", [ORIGINS, history("trainval"), TREND], f"SELECT {FORECAST} FROM trend")
 
+FOLDED = [ORIGINS, """ys AS MATERIALIZED (
+  SELECT id, list(CAST(sales AS DOUBLE) ORDER BY d_num) AS y, list(d_num ORDER BY d_num) AS days FROM trainval
+  WHERE d_num <= (SELECT max(origin) FROM origins) GROUP BY id HAVING count(*) >= 14)""", """
+settings AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY alpha, beta, gamma, phi) - 1 AS INTEGER) AS setting, * FROM
+    (SELECT unnest([0.05::DOUBLE, 0.2, 0.5]) AS alpha), (SELECT unnest([0.0::DOUBLE, 0.02]) AS beta),
+    (SELECT unnest([0.05::DOUBLE, 0.2]) AS gamma), (SELECT unnest([0.9::DOUBLE, 0.98]) AS phi))""", """
+states AS (
+  SELECT id, setting, 7 AS n, list_sum(y[1:7]) / 7 AS level, (list_sum(y[8:14]) / 7 - list_sum(y[1:7]) / 7) / 7 AS trend,
+         list_transform(y[1:7], lambda v: v - list_sum(y[1:7]) / 7) AS cycle, 0.0::DOUBLE AS sse FROM ys, settings
+  UNION ALL
+  SELECT id, setting, n + 1, level + phi * trend + alpha * e, phi * trend + beta * e, list_append(cycle[2:7], cycle[1] + gamma * e), sse + e * e
+  FROM (SELECT s.*, alpha, beta, gamma, phi, y[n + 1] - (level + phi * trend + cycle[1]) AS e
+        FROM states s JOIN ys ON ys.id = s.id JOIN settings g ON g.setting = s.setting WHERE n < len(y)))""", """
+fitted AS MATERIALIZED (
+  SELECT o.origin, s.* FROM origins o JOIN ys ON true JOIN states s ON s.id = ys.id AND s.n = len(list_filter(days, lambda d: d <= o.origin))
+  WHERE s.n >= 14 QUALIFY row_number() OVER (PARTITION BY o.origin, s.id ORDER BY sse, s.setting) = 1)"""]
+sql("holt_winters_state", "coarse", FOLDED, f"""SELECT CAST(origin AS BIGINT) AS origin, id, n, setting, {rounded('level', 'trend')},
+  {r('cycle[1]')} AS next_cycle, {r('cycle[7]')} AS last_cycle, {rounded('sse')} FROM fitted""")
+sql("holt_winters_bands", "coarse", FOLDED + ["""
+effects AS (
+  SELECT setting, j, alpha + beta * list_sum(list_transform(generate_series(1, j), lambda i: phi ** i)) + CASE WHEN j % 7 = 0 THEN gamma ELSE 0 END AS c
+  FROM settings, (SELECT unnest(generate_series(1, 28)) AS j))""", """
+ahead AS (
+  SELECT f.*, h, level + trend * list_sum(list_transform(generate_series(1, h), lambda i: phi ** i)) + cycle[(h - 1) % 7 + 1] AS point,
+         sqrt(sse / (n - 7) * (1 + coalesce((SELECT sum(c * c) FROM effects e WHERE e.setting = f.setting AND e.j < h), 0))) AS sigma
+  FROM fitted f JOIN settings g ON g.setting = f.setting, (SELECT unnest(generate_series(1, 28)) AS h))""", f"""
+bands_out AS (SELECT origin, id, CAST(origin + h AS BIGINT) AS d_num,
+  {repaired('point - 1.2815515655446004 * sigma', 'point', 'point + 1.2815515655446004 * sigma')} FROM ahead)"""],
+    f"SELECT CAST(origin AS BIGINT) AS origin, id, d_num, {rounded('q10', 'q50', 'q90')} FROM bands_out")
+for folded in ("holt_winters_state", "holt_winters_bands"):
+    ORACLES[folded] = ORACLES[folded].replace("WITH ", "WITH RECURSIVE ", 1)
+
 # --- training data ------------------------------------------------------------------------------------
 
 CANDIDATES = """

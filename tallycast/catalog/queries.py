@@ -18,6 +18,7 @@ from tallycast.operators.global_forecast import (
     backtest_global, forecast_global, held_out_windows, predict_rows, quantile_forecast, residual_bands as global_bands,
 )
 from tallycast.operators.holt_winters import holt_winters as holt_winters_forecast
+from tallycast.operators.holt_winters_fold import holt_winters_bands as closed_bands, holt_winters_state as folded_state
 from tallycast.operators.origins import generate_origins, origins_table
 from tallycast.operators.sampling import stratified_sample
 from tallycast.plans import backtest, reports
@@ -355,6 +356,18 @@ def holt_winters(ws):
     return holt_winters_forecast(ws.trainval("coarse"), origins_of(ws))
 
 
+@query
+def holt_winters_state(ws):
+    """The fitted state of every series at every origin: the whole history folded under every setting."""
+    state = folded_state(ws.trainval("coarse"), origins_of(ws))
+    return state.select("origin", "id", "n", "setting", "level", "trend", F.col("cycle")[0].alias("next_cycle"), F.col("cycle")[6].alias("last_cycle"), "sse")
+
+
+@query
+def holt_winters_bands(ws):
+    return closed_bands(ws.trainval("coarse"), origins_of(ws))
+
+
 @query
 def global_forecast(ws):
     """The global model at the end of train, for every series."""
