@@ -273,6 +273,11 @@ sql("encode_categoricals", "coarse", [
     for c in CODED
 ], "SELECT id, d_num, " + ", ".join(f"coalesce(dict_{c}.code, (SELECT count(*) FROM dict_{c})) AS {c}_code" for c in CODED)
     + " FROM panel " + " ".join(f"LEFT JOIN dict_{c} ON dict_{c}.v = panel.{c}" for c in CODED))
+sql("encode_ids", "fine", ["""codes AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS code FROM (
+  SELECT DISTINCT id FROM panel WHERE split = 'train' AND length(id) % 2 = 0))"""],
+    """SELECT p.id, coalesce(code, (SELECT count(*) FROM codes)) AS code FROM (SELECT DISTINCT id FROM panel) p LEFT JOIN codes ON codes.id = p.id""")
+sql("encode_store_items", "fine", [], """SELECT store_id, item_id, dense_rank() OVER (ORDER BY store_id, item_id) - 1 AS code
+  FROM (SELECT DISTINCT store_id, item_id FROM panel)""")
 sql("stratified_sample_series", "fine", [sample("chosen", "panel", "100", 42)], "SELECT id, cat_id FROM chosen")
 sql("coldstart_sample", "fine", [cold("panel", 0.05)], "SELECT id, cat_id FROM cold")
 sql("coldstart_truncate", "coarse", [cold("panel", 0.2), truncated("panel")], "SELECT id, d_num, sales FROM cut")
@@ -320,7 +325,9 @@ FORECAST = f"CAST(origin AS BIGINT) AS origin, id, CAST(d_num AS BIGINT) AS d_nu
 sql("seasonal_naive", "coarse", [ORIGINS, history("trainval"), NAIVE], f"SELECT {FORECAST} FROM naive")
 sql("trend_weekly", "coarse", [ORIGINS, history("trainval"), TREND], f"SELECT {FORECAST} FROM trend")
 
-FOLDED = [ORIGINS, """ys AS MATERIALIZED (
+FOLDED = [ORIGINS, """placed_days AS MATERIALIZED (
+  SELECT id, CAST(sales AS DOUBLE) AS v, row_number() OVER (PARTITION BY id ORDER BY d_num) AS place FROM trainval
+  WHERE d_num <= (SELECT max(origin) FROM origins))""", """ys AS MATERIALIZED (
   SELECT id, list(CAST(sales AS DOUBLE) ORDER BY d_num) AS y, list(d_num ORDER BY d_num) AS days FROM trainval
   WHERE d_num <= (SELECT max(origin) FROM origins) GROUP BY id HAVING count(*) >= 14)""", """
 settings AS MATERIALIZED (
@@ -332,8 +339,8 @@ states AS (
          list_transform(y[1:7], lambda v: v - list_sum(y[1:7]) / 7) AS cycle, 0.0::DOUBLE AS sse FROM ys, settings
   UNION ALL
   SELECT id, setting, n + 1, level + phi * trend + alpha * e, phi * trend + beta * e, list_append(cycle[2:7], cycle[1] + gamma * e), sse + e * e
-  FROM (SELECT s.*, alpha, beta, gamma, phi, y[n + 1] - (level + phi * trend + cycle[1]) AS e
-        FROM states s JOIN ys ON ys.id = s.id JOIN settings g ON g.setting = s.setting WHERE n < len(y)))""", """
+  FROM (SELECT s.*, alpha, beta, gamma, phi, v - (level + phi * trend + cycle[1]) AS e
+        FROM states s JOIN placed_days ON placed_days.id = s.id AND place = s.n + 1 JOIN settings g ON g.setting = s.setting))""", """
 fitted AS MATERIALIZED (
   SELECT o.origin, s.* FROM origins o JOIN ys ON true JOIN states s ON s.id = ys.id AND s.n = len(list_filter(days, lambda d: d <= o.origin))
   WHERE s.n >= 14 QUALIFY row_number() OVER (PARTITION BY o.origin, s.id ORDER BY sse, s.setting) = 1)"""]

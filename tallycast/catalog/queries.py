@@ -13,7 +13,7 @@ from tallycast.functions.names import (
     CALENDAR_CATEGORICALS, CALENDAR_COLUMNS, HORIZON, ID_COLUMNS, QUANTILES, STATIC_CATEGORICALS,
 )
 from tallycast.functions.quantiles import exact_quantile, repair_quantiles
-from tallycast.operators import coldstart, count_forecast as counts, features, forecasters, ingest, metrics, policy, reshape, training_data
+from tallycast.operators import coldstart, count_forecast as counts, dictionary, features, forecasters, ingest, metrics, policy, reshape, training_data
 from tallycast.operators.global_forecast import (
     backtest_global, forecast_global, held_out_windows, predict_rows, quantile_forecast, residual_bands as global_bands,
 )
@@ -222,6 +222,21 @@ def encode_categoricals(ws):
     return coded.select("id", "d_num", *[f"{c}_code" for c in columns])
 
 
+@query
+def encode_ids(ws):
+    """Codes of the series known in train, by range partitions of their ids; half of them are left out, so that the rest is unknown."""
+    train = ws.panel("fine").where("split = 'train' and length(id) % 2 = 0")
+    codes = dictionary.dense_ids(train, ["id"])
+    return dictionary.encode_ids(ws.panel("fine").select("id").distinct(), codes, ["id"])
+
+
+@query
+def encode_store_items(ws):
+    """Codes of the pairs of store and item."""
+    pairs = ws.panel("fine").select("store_id", "item_id").distinct()
+    return dictionary.encode_ids(pairs, dictionary.dense_ids(pairs, ["store_id", "item_id"]), ["store_id", "item_id"])
+
+
 @query
 def stratified_sample_series(ws):
     return stratified_sample(ws.panel("fine"), 100, 42)
