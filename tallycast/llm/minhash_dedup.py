@@ -156,21 +156,31 @@ def _unsettled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _links_by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components inside large band values: blocks of documents against blocks; only links leave a task."""
+    """Links that join the components inside large band values: first inside blocks of documents, then what is
+    still apart block against block. Only links that join two components leave a task, so they grow with the documents.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+    key = ["band", "value", "i", "j"]
+    inside = own.select("band", "value", F.col("own").alias("i"), F.col("own").alias("j"), "own", "id", "component")
+    links = written(inside.join(sets, "id").groupBy(*key).applyInArrow(_compared, "a long, b long"), "links")
+    known = own.select(F.col("id").alias("a"), F.col("component").alias("b")).distinct()
+    left = _unsettled(own.drop("component"), links.unionByName(known))
+    if left.isEmpty():
+        return links
+    paired = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).where("own <> other").select(
         "band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    return paired.join(sets, "id").groupBy("band", "value", "i", "j").applyInArrow(_compared, "a long, b long")
+    return links.unionByName(paired.join(sets, "id").groupBy(*key).applyInArrow(_compared, "a long, b long"))
 
 
 def _compared(table: pa.Table) -> pa.Table:
+    """Links between the documents of a block, or of two, that are in different components: one less than the components they join."""
     ids, groups, own = (table.column(name).to_numpy() for name in ("id", "component", "own"))
     items = table.column("items").combine_chunks()
     starts, ends = items.offsets.to_numpy()[:-1], items.offsets.to_numpy()[1:]
     _, flat = np.unique(items.values.to_numpy(), return_inverse=True)
     sizes, marked = ends - starts, np.zeros(len(flat) + 1, dtype=np.int64)
-    names, member = np.unique(groups, return_inverse=True)
+    _, member = np.unique(groups, return_inverse=True)
     across = own.min() != own.max()
     asking = np.flatnonzero(own == own.min() if across else member != np.bincount(member).argmax())
     against = own == own.max() if across else np.ones(len(ids), dtype=bool)
@@ -188,4 +198,5 @@ def _compared(table: pa.Table) -> pa.Table:
         near = near[np.unique(member[near], return_index=True)[1]]
         a_ids.extend([ids[x]] * len(near))
         b_ids.extend(ids[near])
+        member[np.isin(member, member[near])] = member[x]
     return pa.table({"a": pa.array(a_ids, pa.int64()), "b": pa.array(b_ids, pa.int64())})

@@ -19,6 +19,8 @@ WINDOW = 20
 #: Runs of repeated paragraphs under 16 words stay.
 MIN_RUN = 16
 PERCENT, RECALL = 75, 0.98
+#: MinHash values that make up a band: two leave few pairs that are not similar in a band value.
+ROWS = 2
 LEFT, RIGHT = 0, 1
 AROUND = "id long, start int, stop int, fp long, side int, words array<long>"
 BANDED = "band int, value long, fp long, id long, start int, stop int"
@@ -29,7 +31,7 @@ def bands_for(similarity: float = PERCENT / 100, recall: float = RECALL, rows: i
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-BANDS = bands_for()
+BANDS = bands_for(rows=ROWS)
 
 
 def paragraphs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,9 @@ def _values(rows):
         if len(start):
             flat = np.append(shingles(hashes), np.uint64(0))
             cuts = np.stack([start, end - 4], axis=1).ravel()
-            values = np.stack([np.minimum.reduceat(mix(flat ^ _STEPS[8 + band]), cuts)[::2] for band in range(BANDS)])
+            least = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + i]), cuts)[::2] for i in range(BANDS * ROWS)]
+            with np.errstate(over="ignore"):
+                values = np.stack([mix(sum(least[band * ROWS + i] * _STEPS[i] for i in range(ROWS)) + np.uint64(band)) for band in range(BANDS)])
             yield key, start, end, prints(hashes, start, end), values
 
 
@@ -194,7 +198,7 @@ def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes |
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``[id, start, stop, fp, kept]``: the word ranges that repeat a paragraph, and the place and fingerprint of the kept copy.
 
-    Each paragraph has one MinHash value of its 5-word shingles per band, as many bands as the wanted recall needs. Equal
+    Each paragraph has two MinHash values of its 5-word shingles per band, as many bands as the wanted recall needs. Equal
     fingerprints are one class, of which the first by (id, word) stays. Classes that share a value are linked at similarity
     0.75 of their full shingle sets, whatever the number of them that share it (``_links``); of every component the first by (id, word) stays.
 

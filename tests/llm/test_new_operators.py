@@ -243,3 +243,32 @@ def test_ratios_and_bins_against_plain_counts():
         assert sorted(values[number == i].round(9)) == sorted(np.sqrt(1000 * np.array(list(grams.values())) / len(padded)).round(9))
     ratio, distance = toxicity.log_count_ratios(np.array([[0.0, 4.0], [8.0, 4.0]]), np.array([[0, 3], [5, 3]]), np.array([10.0, 10.0]))
     assert np.allclose(ratio, [np.log(9 / 1), 0]) and distance[0] > 2 and distance[1] == 0
+
+
+# --- links between similar documents --------------------------------------------------------------------
+
+
+def test_similar_documents_of_a_block_have_spanning_links():
+    import pyarrow as pa
+
+    from tallycast.llm.minhash_dedup import _compared
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.append(base, rng.integers(0, 1 << 40, 3)) for _ in range(256)] + [rng.integers(0, 1 << 40, 60) for _ in range(20)]
+    ids = np.arange(len(sets))
+    for own in (np.zeros(len(sets), dtype=np.int32), (ids % 2).astype(np.int32)):
+        found = _compared(pa.table({"id": ids, "component": ids, "own": own, "items": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))}))
+        assert len(found) == 255
+        root = {int(i): int(i) for i in ids}
+        for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist()):
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        assert len({root[i] for i in range(256)}) == 1 and all(root[i] == i for i in range(256, 276))
+
+
+def test_pairs_of_paragraphs_share_a_band_as_often_as_promised():
+    from tallycast.llm import paragraph_dedup as p
+
+    assert p.BANDS * p.ROWS <= 16
+    assert 1 - (1 - 0.75**p.ROWS) ** p.BANDS >= 0.98 and 1 - (1 - 0.1**p.ROWS) ** p.BANDS < 0.06
