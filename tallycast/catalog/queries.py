@@ -125,6 +125,13 @@ def split_profile(ws):
     return tables.split_profile(ws.panel("fine"))
 
 
+@query
+def split_profile_sketched(ws):
+    """The same profile from stored sketches of every split and year, read back and merged."""
+    path = tables.write_parquet(tables.series_sketches(ws.panel("fine")), scratch_path(ws.spark, "sketches"))
+    return tables.profile_of_sketches(ws.spark.read.parquet(path))
+
+
 @query
 def load_panel(ws):
     return tables.load_panel(ws.panel("coarse"), ("train", "val"), ["id", "cat_id", "d_num", "sales", "date"])
@@ -208,6 +215,19 @@ def engineer_features_coldstart(ws):
     return features.engineer_features(ws.trainval("coarse"), cold_ids=cold, cutoff_day=cutoff).select(*ENGINEERED)
 
 
+@query
+def incremental_features(ws):
+    """The same rows by three runs: all train days at once, then val in two halves from the stored state alone."""
+    end = ws.days()["train"]
+    val = ws.panel("coarse").where("split = 'val'").drop("split")
+    state, parts = ws.feature_state("coarse"), [ws.train_features("coarse")]
+    for low in (end, end + HORIZON // 2):
+        fresh, after = features.carry_features(state, val.where(F.col("d_num").between(low + 1, low + HORIZON // 2)))
+        parts.append(fresh)
+        state = ws.spark.read.parquet(tables.write_parquet(after, scratch_path(ws.spark, "feature_state")))
+    return reduce(DataFrame.unionByName, [part.select(*ENGINEERED, "lag_7", "lag_28") for part in parts])
+
+
 @query
 def restrict_series(ws):
     chosen = ws.dozen()
@@ -496,6 +516,23 @@ def training_windows_predict(ws):
     return window_summary(training_data.training_windows(ws.trainval("coarse"), min_encoder=1, predict=True))
 
 
+@query
+def window_index(ws):
+    return training_data.window_index(ws.trainval("coarse"))
+
+
+@query
+def window_values(ws):
+    """Every window read through its pointer: sums and ends of the slices of target and covariates."""
+    columns = ["sales", "sell_price", "wday"]
+    panel = ws.trainval("coarse")
+    out = training_data.window_values(training_data.window_index(panel), training_data.series_store(panel, columns), columns)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda a, x: a + x)
+    return out.select(
+        "id", "first_row", *[total(f"{side}_{c}").alias(f"{side}_{c}_sum") for c in columns for side in ("encoder", "decoder")],
+        F.element_at("encoder_sales", -1).alias("encoder_last"), F.element_at("decoder_sales", 1).alias("decoder_first"))
+
+
 def cold_panel(ws):
     cold, cutoff, origin = cold_setup(ws)
     return coldstart.truncate_coldstart_history(ws.trainval("fine"), cold, cutoff), cold, cutoff, origin

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallycast.functions.names import HORIZON
 from tallycast.operators.coldstart import coldstart_cutoff_day, coldstart_sample
 from tallycast.operators.global_forecast import GlobalModel, fit_global, forecast_global, load_global, save_global
-from tallycast.operators.features import add_lag_features, engineer_features
+from tallycast.operators.features import add_lag_features, engineer_features, feature_state
 from tallycast.operators.ingest import build_panel
 from tallycast.operators.metrics import volume_segment
 from tallycast.operators.origins import last_day
@@ -123,6 +123,16 @@ class Workspace:
         """Features and lags of the coarse panel up to the end of val, written once for every origin that reads them."""
         return self._sample("coarse_features", lambda: add_lag_features(engineer_features(self.trainval("coarse"))))
 
+    def train_features(self, grain: str) -> DataFrame:
+        """Features and lags of the train days, as the run of an earlier day left them."""
+        train = self.panel(grain).where("split = 'train'")
+        return self._sample(f"train_features_{grain}", lambda: add_lag_features(engineer_features(train)))
+
+    def feature_state(self, grain: str) -> DataFrame:
+        """What the days after train need of it."""
+        train = self.panel(grain).where("split = 'train'").drop("split")
+        return self._sample(f"feature_state_{grain}", lambda: feature_state(train))
+
     def segments(self, grain: str) -> DataFrame:
         """The volume segment of every series, from the train days."""
         train = self.panel(grain).where("split = 'train'")

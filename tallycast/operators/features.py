@@ -76,8 +76,41 @@ def engineer_features(
     chain = chain.transform(add_price_change_flag).transform(add_rolling_features)
     if min_day is not None:
         chain = chain.where(F.col("d_num") >= min_day)
+    return typed_features(chain)
+
+
+def typed_features(chain: DataFrame) -> DataFrame:
+    """Whole numbers as longs, price and sales as doubles."""
     longs = ("d_num", "wday", "month", "year", "snap", "price_change_flag", "coldstart_flag")
     doubles = ("sell_price", "sales")
     return chain.withColumns(
         {c: F.col(c).cast("long") for c in longs} | {c: F.col(c).cast("double") for c in doubles}
     )
+
+
+# --- features of new days alone ------------------------------------------------------------------------
+
+CARRIED_ROWS = max(*ROLLING_WINDOWS, *TARGET_LAGS)
+
+
+def feature_state(panel: DataFrame) -> DataFrame:
+    """What later days need of a panel: the last 28 rows of every series and its ``first_day``. Its size follows the series, not the days."""
+    newest_first = W.partitionBy("id").orderBy(F.col("d_num").desc())
+    first_day = F.min(F.coalesce("first_day", "d_num") if "first_day" in panel.columns else F.col("d_num")).over(W.partitionBy("id"))
+    ranked = panel.withColumn("first_day", first_day).withColumn("__back", F.row_number().over(newest_first))
+    return ranked.where(F.col("__back") <= CARRIED_ROWS).drop("__back")
+
+
+def carry_features(state: DataFrame, new_days: DataFrame, horizon: int = HORIZON) -> tuple[DataFrame, DataFrame]:
+    """Features and lags of ``new_days``, and the state after them, from the state before them alone.
+
+    The rows are those of :func:`engineer_features` and :func:`add_lag_features` over the whole history, of which nothing is read. New days must lie after
+    the days of the state. Series without a state begin with their first new day; a series without a new day keeps its state. Both results
+    read ``state`` and ``new_days``, so these should be tables.
+    """
+    both = state.withColumn("__new", F.lit(False)).unionByName(new_days.withColumn("__new", F.lit(True)), allowMissingColumns=True)
+    first_day = F.min(F.coalesce("first_day", "d_num")).over(W.partitionBy("id"))
+    chain = both.withColumn("first_day", first_day).withColumn("coldstart_flag", (F.col("d_num") - F.col("first_day") + 1 < horizon).cast("long"))
+    chain = chain.transform(add_snap_flag).transform(add_price_change_flag).transform(add_rolling_features)
+    chain = typed_features(chain).transform(add_lag_features)
+    return chain.where("__new").drop("__new", "first_day"), feature_state(both.drop("__new"))

@@ -104,6 +104,37 @@ def training_windows(
     return windows.drop("last_day")
 
 
+def series_store(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per series: its days in order and an array of every column, as long as the days."""
+    row = F.struct("d_num", *columns)
+    ordered = panel.groupBy("id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return ordered.select("id", *[F.col(f"rows.{c}").alias(c) for c in ("d_num", *columns)])
+
+
+def window_index(
+    panel: DataFrame, max_encoder: int = 60, min_encoder: int = 30, max_decoder: int = HORIZON, stride: int = 1, lag_rows: int = 0,
+) -> DataFrame:
+    """``[id, first_row, encoder_len, decoder_len]``: the windows of :func:`training_windows` as places in the arrays of a series, from 1.
+
+    Only the number of rows of a series is needed; no value is copied. ``stride`` keeps every so many first decoder rows.
+    """
+    rows = panel.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    first = lag_rows + min_encoder + 1
+    starts = rows.where(F.col("n") >= first).select("id", "n", F.explode(F.sequence(F.lit(first), F.col("n"), F.lit(stride))).alias("decoder_row"))
+    encoder = F.least(F.lit(max_encoder), F.col("decoder_row") - 1 - lag_rows)
+    return starts.select(
+        "id", (F.col("decoder_row") - encoder).alias("first_row"), encoder.alias("encoder_len"),
+        F.least(F.lit(max_decoder), F.col("n") - F.col("decoder_row") + 1).alias("decoder_len"))
+
+
+def window_values(index: DataFrame, store: DataFrame, columns: list[str]) -> DataFrame:
+    """``index`` with the encoder and decoder slice of every column, cut at read time. Only the index and one row per series are shuffled."""
+    encoder = lambda c: F.slice(c, F.col("first_row"), F.col("encoder_len")).alias(f"encoder_{c}")
+    decoder = lambda c: F.slice(c, F.col("first_row") + F.col("encoder_len"), F.col("decoder_len")).alias(f"decoder_{c}")
+    joined = index.join(store, "id")
+    return joined.select(*index.columns, *[part(c) for c in columns for part in (encoder, decoder)])
+
+
 def dropped_series(panel: DataFrame, windows: DataFrame) -> DataFrame:
     """Series without a single window, with their number of rows, so that none disappears unnoticed."""
     rows = panel.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
