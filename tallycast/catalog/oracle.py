@@ -407,14 +407,14 @@ WINDOW_COLUMNS = """id, encoder_start, decoder_start, decoder_end, CAST(encoder_
 sql("training_windows", "coarse", [placed("trainval"), windows("trainval", 0, 30)], f"SELECT {WINDOW_COLUMNS} FROM windows")
 sql("training_windows_predict", "coarse", [placed("trainval"), windows("trainval", 0, 1)],
     f"SELECT {WINDOW_COLUMNS} FROM windows WHERE decoder_len = 28 AND decoder_end = last_day")
-sql("window_index", "coarse", [placed("trainval"), windows("trainval", 0, 30), "rows_of AS (SELECT id, d_num, place FROM placed)"],
-    """SELECT w.id, CAST(p.place AS INTEGER) AS first_row, CAST(encoder_len AS INTEGER) AS encoder_len, CAST(decoder_len AS INTEGER) AS decoder_len
-  FROM windows w JOIN rows_of p ON p.id = w.id AND p.d_num = w.encoder_start""")
+WINDOW_FRAMES = """WINDOW s AS (PARTITION BY id ORDER BY d_num), e AS (PARTITION BY id ORDER BY d_num ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING),
+    d AS (PARTITION BY id ORDER BY d_num ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) QUALIFY count(*) OVER e >= 30"""
+sql("window_index", "coarse", [], f"""SELECT id, CAST(row_number() OVER s - count(*) OVER e AS INTEGER) AS first_row, CAST(count(*) OVER e AS INTEGER) AS encoder_len,
+  CAST(count(*) OVER d AS INTEGER) AS decoder_len FROM trainval {WINDOW_FRAMES}""")
 SLICES = ", ".join(f"sum({c}) OVER {w} AS {side}_{c}_sum" for c in ("sales", "sell_price", "wday") for side, w in (("encoder", "e"), ("decoder", "d")))
 sql("window_values", "coarse", [f"""slices AS (
   SELECT id, row_number() OVER s - count(*) OVER e AS first_row, {SLICES}, lag(sales) OVER s AS encoder_last, sales AS decoder_first
-  FROM trainval WINDOW s AS (PARTITION BY id ORDER BY d_num), e AS (PARTITION BY id ORDER BY d_num ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING),
-    d AS (PARTITION BY id ORDER BY d_num ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) QUALIFY count(*) OVER e >= 30)"""],
+  FROM trainval {WINDOW_FRAMES})"""],
     "SELECT id, CAST(first_row AS INTEGER) AS first_row, "
     + rounded(*[f"{side}_{c}_sum" for c in ("sales", "sell_price", "wday") for side in ("encoder", "decoder")]) + ", encoder_last, decoder_first FROM slices")
 TRAIN_CUT = "train_cut AS (SELECT * FROM cut WHERE d_num <= (SELECT train_end FROM bounds))"
