@@ -286,9 +286,8 @@ sql("coldstart_truncate", "coarse", [cold("panel", 0.2), truncated("panel")], "S
 # --- metrics ------------------------------------------------------------------------------------------
 
 sql("volume_segment", "fine", [SEGMENTS], f"SELECT id, {rounded('avg_daily_sales')}, volume_segment FROM segments")
-sql("exact_threshold", "fine", [SEGMENTS, """few AS (
-  SELECT list_sort(list(avg_daily_sales)) AS l FROM segments WHERE id < (SELECT max(id) FROM segments))"""],
-    " UNION ALL ".join(f"SELECT {x}::DOUBLE AS level, {r(nearest('l', x))} AS threshold FROM few" for x in (0.1, 0.5, 0.8, 0.9)))
+sql("exact_threshold", "fine", [SEGMENTS, "every AS (SELECT list_sort(list(avg_daily_sales)) AS l FROM segments)"],
+    " UNION ALL ".join(f"SELECT {x}::DOUBLE AS level, {r(nearest('l', f'{x}::DOUBLE'))} AS threshold FROM every" for x in (0.1, 0.5, 0.8, 0.9)))
 sql("residual_bands", "coarse", NAIVE_SCORES + [SEGMENTS, """judged AS (
   SELECT CAST(d_num - origin AS INTEGER) AS h, volume_segment, list_sort(list(CAST(sales - q50 AS DOUBLE))) AS l
   FROM scored JOIN segments USING (id) GROUP BY ALL)"""],
