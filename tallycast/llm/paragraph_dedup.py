@@ -60,24 +60,48 @@ def prints(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         return mix((sums[end] - sums[start]) * powers(_INVERSE, len(hashes) + 1)[start] + (end - start).astype(np.uint64))
 
 
-def _hashed(rows):
+def _chunked(rows):
+    """Keys, word hashes and word offsets of many texts at a time."""
     for held in chunks((key, text) for key, text in rows if text):
         _, _, hashes, offsets = words([text for _, text in held])
-        for i, (key, _) in enumerate(held):
-            yield key, hashes[offsets[i] : offsets[i + 1]]
+        yield [key for key, _ in held], hashes, offsets
+
+
+def paragraphs_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of many texts at once, as :func:`paragraphs` gives them: first words and ends among all words, and the first paragraph of each text."""
+    counts = np.diff(offsets)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    borders = offsets[:-1][counts > 0]
+    if len(hashes) > WINDOW:
+        with np.errstate(over="ignore"):
+            pairs = mix(hashes[:-1] * _STEPS[0] + hashes[1:] * _STEPS[1])
+        inside = np.flatnonzero(owner[: len(hashes) - WINDOW] == owner[WINDOW:])
+        least = sliding_window_view(pairs, WINDOW)[inside].argmin(axis=1) + inside
+        borders = np.unique(np.concatenate([borders, least]))
+    ends = np.append(borders[1:], len(hashes))
+    if len(borders):
+        ends = np.minimum(ends, offsets[1:][owner[borders]])
+    full = ends - borders >= SHINGLE
+    borders, ends = borders[full], ends[full]
+    return borders, ends, np.searchsorted(borders, offsets)
 
 
 def _values(rows):
     """Of every text with a paragraph: its key, starts and ends, their fingerprints, and one row of values per band."""
-    for key, hashes in _hashed(rows):
-        start, end = paragraphs(hashes) if len(hashes) >= SHINGLE else ([], [])
-        if len(start):
-            flat = np.append(shingles(hashes), np.uint64(0))
-            cuts = np.stack([start, end - 4], axis=1).ravel()
-            least = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + i]), cuts)[::2] for i in range(BANDS * ROWS)]
-            with np.errstate(over="ignore"):
-                values = np.stack([mix(sum(least[band * ROWS + i] * _STEPS[i] for i in range(ROWS)) + np.uint64(band)) for band in range(BANDS)])
-            yield key, start, end, prints(hashes, start, end), values
+    for keys, hashes, offsets in _chunked(rows):
+        start, end, first = paragraphs_of(hashes, offsets)
+        if not len(start):
+            continue
+        flat = np.append(shingles(hashes), np.uint64(0))
+        cuts = np.stack([start, end - 4], axis=1).ravel()
+        least = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + i]), cuts)[::2] for i in range(BANDS * ROWS)]
+        with np.errstate(over="ignore"):
+            values = np.stack([mix(sum(least[band * ROWS + i] * _STEPS[i] for i in range(ROWS)) + np.uint64(band)) for band in range(BANDS)])
+        own = prints(hashes, start, end)
+        for i, key in enumerate(keys):
+            a, b = first[i], first[i + 1]
+            if a < b:
+                yield key, start[a:b] - offsets[i], end[a:b] - offsets[i], own[a:b], values[:, a:b]
 
 
 def _met(rows):
@@ -112,10 +136,10 @@ def _banded(rows):
 
 def _sets(rows):
     own, sets, size = [], [], 0
-    for _, hashes in _hashed(rows):
-        if len(hashes) < SHINGLE:
+    for _, hashes, offsets in _chunked(rows):
+        start, end, _ = paragraphs_of(hashes, offsets)
+        if not len(start):
             continue
-        start, end = paragraphs(hashes)
         flat = shingles(hashes)
         own.append(prints(hashes, start, end))
         sets.extend(np.unique(flat[s : e - 4]) for s, e in zip(start, end))

@@ -272,3 +272,26 @@ def test_pairs_of_paragraphs_share_a_band_as_often_as_promised():
 
     assert p.BANDS * p.ROWS <= 16
     assert 1 - (1 - 0.75**p.ROWS) ** p.BANDS >= 0.98 and 1 - (1 - 0.1**p.ROWS) ** p.BANDS < 0.06
+
+
+def test_paragraphs_of_many_texts_are_those_of_each():
+    from tallycast.llm import paragraph_dedup as p
+    from tallycast.llm.text import shingles, words
+
+    rng = random.Random(21)
+    for counts in ([0, 3, 4, 5, 19, 20, 21, 22, 0, 300, 41, 1], [500], [2], [0], [26, 0, 0, 25]):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)).encode() for n in counts]
+        _, _, hashes, offsets = words(texts)
+        start, end, first = p.paragraphs_of(hashes, offsets)
+        got = {key: (s.tolist(), e.tolist(), own.tolist(), values.tolist()) for key, s, e, own, values in p._values(enumerate(texts))}
+        for i in range(len(texts)):
+            own = hashes[offsets[i] : offsets[i + 1]]
+            s, e = p.paragraphs(own)
+            a, b = first[i], first[i + 1]
+            assert (start[a:b] - offsets[i]).tolist() == s.tolist() and (end[a:b] - offsets[i]).tolist() == e.tolist()
+            assert (i in got) == bool(len(s))
+            if len(s):
+                assert got[i][:3] == (s.tolist(), e.tolist(), p.prints(own, s, e).tolist())
+                assert got[i][3] == [x.tolist() for x in next(p._values([(i, texts[i])]))[4]]
+        everything = [x for n, x in zip(counts, texts) if n >= 5]
+        assert len(shingles(hashes)) >= sum(len(x.split()) - 4 for x in everything)
