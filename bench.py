@@ -25,7 +25,7 @@ HEADLINE = [
     "stratified_sample_series", "seasonal_naive", "trend_weekly", "holt_winters", "backtest_results",
     "backtest_all_models", "segmented_scores", "training_panel", "training_windows", "policy_summary",
     "submission_table", "series_report", "global_forecast", "score_later_origin", "coldstart_forecast", "global_policy_summary",
-    "global_backtest",
+    "global_backtest", "global_quantiles", "count_forecast", "holt_winters_bands", "incremental_features", "window_values",
 ]
 
 
