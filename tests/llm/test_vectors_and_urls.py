@@ -82,6 +82,33 @@ def test_top_k_against_sorting(spark, n):
     assert [tuple(r) for r in got] == expected
 
 
+@pytest.mark.parametrize("segments", [2, 4])
+def test_top_k_at_the_widths_of_large_tables(spark, monkeypatch, segments):
+    """Segments of 32 and 16 bits over clusters of codes; lone codes end in the comparison with all codes."""
+    monkeypatch.setattr(hamming_search, "segments_for", lambda n: segments)
+    monkeypatch.setattr(hamming_search, "SCAN_BLOCK", 3)
+    rng = np.random.default_rng(8)
+    centres = [int(c) for c in rng.integers(-(1 << 63), (1 << 63) - 1, 30)]
+    codes = [c ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))) for c in centres for _ in range(40)] + centres
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = hamming_search.hamming_top_k(df, df.where("id % 50 = 0"), 6).orderBy("query_id", "rank").collect()
+    whole = np.array(codes).view(np.uint64)
+    expected = []
+    for q in range(0, len(codes), 50):
+        distance = np.bitwise_count(whole ^ whole[q])
+        near = [i for i in np.lexsort((np.arange(len(codes)), distance)) if i != q][:6]
+        expected += [(q, rank + 1, i, distance[i]) for rank, i in enumerate(near)]
+    assert [tuple(r) for r in got] == expected
+
+
+def test_sign_codes_of_long_and_short_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(n).tolist()) for i, n in enumerate((1, 16, 63, 64, 65, 128, 129, 300))] + [(90, []), (91, None), (92, [NAN]), (93, [None, 1.0])]
+    got = hamming_search.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    bits = {i: sum(1 << b for b in range(64) if sum(v[b::64]) > 0) for i, v in rows[:8]}
+    assert {r.id: r.code & (1 << 64) - 1 for r in got} == bits
+
+
 def test_top_k_with_repeated_ids(spark):
     """Rows that share an id: they fill no caps of their own queries and count as rows for the others."""
     rng = np.random.default_rng(4)
