@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +20,52 @@ WORD_BINS, NAME_BINS = 256, 64
 MAX_LABELLED = 20_000
 ROUNDS, EXCHANGED, CONFIDENT = 3, 400, 0.9
 PENALTY, ITERATIONS = 0.001, 30
-_UPPER, _DIGIT, _MARK = (np.zeros(256, dtype=bool) for _ in range(3))
-_UPPER[65:91], _DIGIT[48:58] = True, True
-_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_UPPER = bytes(range(65, 91))
+_DIGIT = bytes(range(48, 58))
+_MARK = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
     """Per text: hashed word shares, and shares of capitals, digits, marks, repeated words and repeated lines, lengths."""
+    n = len(texts)
     start, end, hashes, offsets = words(texts)
-    out = np.zeros((len(texts), WORD_BINS + 8))
-    for i, text in enumerate(texts):
-        own = hashes[offsets[i] : offsets[i + 1]]
-        if not len(own):
-            continue
-        bins = np.bincount((own % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS)
-        out[i, :WORD_BINS] = np.sqrt(bins / len(own))
-        data = np.frombuffer(text, dtype=np.uint8)
-        distinct = np.unique(own)
+    out = np.zeros((n, WORD_BINS + 8))
+    counts = np.diff(offsets)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    owner = np.repeat(np.arange(n), counts)
+    bins = (hashes % np.uint64(WORD_BINS)).astype(np.int64) + owner * WORD_BINS
+    many = np.maximum(counts, 1)
+    out[:, :WORD_BINS] = np.sqrt(np.bincount(bins, minlength=n * WORD_BINS).reshape(n, WORD_BINS) / many[:, None])
+    alike = np.bincount(owner[1:], weights=(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]), minlength=n)
+    letters = np.bincount(owner, weights=end - start, minlength=n)
+    repeated = np.zeros((n, 5))
+    for i in some:
+        text = texts[i]
+        own = np.sort(hashes[offsets[i] : offsets[i + 1]])
         lines = text.split(b"\n")
-        lengths = end[offsets[i] : offsets[i + 1]] - start[offsets[i] : offsets[i + 1]]
-        alike = (own[1:] == own[:-1]).mean() if len(own) > 1 else 0.0
-        out[i, WORD_BINS:] = [
-            _UPPER[data].mean(), _DIGIT[data].mean(), _MARK[data].mean(), 1 - len(distinct) / len(own), alike,
-            1 - len(set(lines)) / len(lines), lengths.mean() / 10, np.log1p(len(own)) / 10]
+        repeated[i] = [*((len(text) - len(text.translate(None, kind))) / len(text) for kind in (_UPPER, _DIGIT, _MARK)),
+                       np.count_nonzero(own[1:] == own[:-1]) / len(own), 1 - len(set(lines)) / len(lines)]
+    tail = np.column_stack([repeated[:, :4], alike / np.maximum(counts - 1, 1), repeated[:, 4], letters / many / 10, np.log1p(counts) / 10])
+    out[some, WORD_BINS:] = tail[some]
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _name_bin(name: bytes) -> int:
+    return int(words([name])[2].sum(dtype=np.uint64) % np.uint64(NAME_BINS))
+
+
 def metadata_features(source: list[str | None], lang: list[str | None], n_chars: list[int | None]) -> np.ndarray:
     """Per document: hashed source and language, and the stated length; nulls are values of their own."""
-    names = [b"\n".join([f"s {a}".encode() if a is not None else b"s", f"l {b}".encode() if b is not None else b"l"]) for a, b in zip(source, lang)]
-    out = np.zeros((len(names), NAME_BINS + 2))
-    for i, name in enumerate(names):
-        for part in name.split(b"\n"):
-            _, _, hashes, _ = words([part.replace(b" ", b"=")])
-            out[i, int(hashes.sum(dtype=np.uint64) % np.uint64(NAME_BINS))] += 1
-        out[i, NAME_BINS] = np.log1p(max(n_chars[i] or 0, 0)) / 10
-        out[i, NAME_BINS + 1] = n_chars[i] is None
+    out = np.zeros((len(source), NAME_BINS + 2))
+    for i, values in enumerate(zip(source, lang)):
+        for kind, value in zip("sl", values):
+            for part in (kind if value is None else f"{kind} {value}").encode().split(b"\n"):
+                out[i, _name_bin(part.replace(b" ", b"="))] += 1
+    out[:, NAME_BINS] = [np.log1p(max(n or 0, 0)) / 10 for n in n_chars]
+    out[:, NAME_BINS + 1] = [n is None for n in n_chars]
     return out
 
 

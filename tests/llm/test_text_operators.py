@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -387,6 +388,48 @@ def test_language_of_awkward_rows(spark, odd_docs, nothing):
     assert {r.lang_pred for r in language_id.predict_language(odd_docs, untaught).collect()} == {"und"}
 
 
+def test_quality_features_against_counting():
+    """Features of a whole chunk are those of each text counted word by word."""
+    texts = [t.encode() for t in ("", " \n ", "one", "Ab ab AB 12, 3.\nsame\nsame\nsame", "ü É 中文 x\n\n", "A" * 5000 + " b", "w " * 900, "a b", "b a")]
+    got = cotraining.text_features(texts)
+    for row, text in zip(got, texts):
+        parts = [w.lower() for w in re.split(rb"[\x20\x09-\x0d]+", text) if w]
+        if not parts:
+            assert not row.any()
+            continue
+        share = lambda low, high: sum(low <= c <= high for c in text) / len(text)
+        lines = text.split(b"\n")
+        marks = sum(33 <= c < 127 and not chr(c).isalnum() for c in text) / len(text)
+        expected = [share(65, 90), share(48, 57), marks, 1 - len(set(parts)) / len(parts),
+                    sum(a == b for a, b in zip(parts, parts[1:])) / max(len(parts) - 1, 1), 1 - len(set(lines)) / len(lines),
+                    sum(map(len, parts)) / len(parts) / 10, np.log1p(len(parts)) / 10]
+        assert np.allclose(row[-8:], expected)
+        bins = np.zeros(cotraining.WORD_BINS)
+        for word in parts:
+            bins[int(cotraining.words([word])[2][0]) % cotraining.WORD_BINS] += 1
+        assert np.allclose(row[:-8], np.sqrt(bins / len(parts)))
+    alone = np.concatenate([cotraining.text_features([t]) for t in texts])
+    assert np.array_equal(got, alone)
+
+
+def test_quality_of_awkward_rows(spark, odd_docs, nothing):
+    """The trained path: null texts and metadata, null and repeated ids, names with spaces and line ends, no rows."""
+    rng = random.Random(3)
+    rows = [(i, ("fine " if i % 2 else "BAD!! 9 ") * 4 + prose(rng, 15), "en", f"s{i % 2}", 40) for i in range(200)]
+    rows += [(300, None, None, None, None), (300, "x", "a b\nc", "", -5), (None, "y", "en", "s0", 1), (1, "another text of id 1", "en", "s1", 2)]
+    docs = spark.createDataFrame([(*r, 0.5, "m") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, label double, row string")
+    labels = docs.where("doc_id < 150").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(
+        spark.createDataFrame([(1, None), (None, 1), (300, None)], "doc_id long, quality int"))
+    model = cotraining.train_quality(docs, labels, rounds=1)
+    assert model.views
+    scored = cotraining.score_quality(docs, model).collect()
+    assert sorted(str(r.doc_id) for r in scored) == sorted(str(r[0]) for r in rows)
+    assert all(0 <= r.score <= 1 and r.good == (r.score >= 0.5) for r in scored)
+    assert cotraining.score_quality(nothing, model).count() == 0
+    assert cotraining.score_quality(odd_docs, model).count() == odd_docs.count()
+    assert cotraining.train_quality(nothing, labels, rounds=1).views == {}
+
+
 def test_quality_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
