@@ -46,18 +46,20 @@ def _slot(segment: Column, value: Column, width: int) -> Column:
 
 
 def _probes(queries: DataFrame, m: int, width: int, radius: int) -> DataFrame:
-    """``queries`` with every ``segment`` and every ``slot`` whose value has ``radius`` bits unlike the query's.
+    """``queries [*KEY, within]`` with every ``segment`` and every ``slot`` whose value has ``radius`` bits unlike the query's.
 
-    Bits are turned one after another, each above the last, so the masks are rows that Spark makes as it goes.
+    Bits are turned one after another, each above the last, so the masks are rows that Spark makes as it goes, in as many tasks
+    as a shuffle has.
     """
-    rows = queries.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(
-        "*", _segment(F.col("query"), F.col("segment"), width).alias("value"), F.lit(0).alias("next"))
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = queries.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(tasks, *KEY, "segment")
+    rows = segments.select("*", _segment(F.col("query"), F.col("segment"), width).alias("value"), F.lit(0).alias("next"))
     for _ in range(radius):
         later = F.when(F.col("next") < width, F.sequence(F.col("next"), F.lit(width - 1)))
         turned = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
         rows = rows.withColumn("bit", F.explode(later)).select(
-            *KEY, "segment", F.col("value").bitwiseXOR(turned).alias("value"), (F.col("bit") + 1).alias("next"))
-    return rows.select(*KEY, "segment", _slot(F.col("segment"), F.col("value"), width).alias("slot"))
+            *KEY, "within", "segment", F.col("value").bitwiseXOR(turned).alias("value"), (F.col("bit") + 1).alias("next"))
+    return rows.select(*KEY, "within", "segment", _slot(F.col("segment"), F.col("value"), width).alias("slot"))
 
 
 def _usable(met: DataFrame) -> DataFrame:
@@ -77,17 +79,16 @@ def _best(pool: DataFrame, wanted: int) -> DataFrame:
 def _scanned(queries: DataFrame, entries: DataFrame, wanted: int) -> DataFrame:
     """The best codes of each query by comparing it with all codes, in blocks of 256 queries.
 
-    The first pass only counts codes by distance and finds the distance within which a query has enough; the second
-    keeps the codes within it.
+    A query ``[*KEY, within]`` needs no code beyond ``within``. The first pass only counts codes by distance and finds the
+    distance within which a query has enough; the second keeps the codes within it.
     """
     n = queries.count()
     blocks = -(-n // SCAN_BLOCK)
     groups = written(queries.withColumn("block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)).cast("int")).groupBy("block").agg(
-        F.collect_list(F.struct(*KEY, F.lit(BITS).alias("within"))).alias("queries")), "blocks")
-    copies = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        F.collect_list(F.struct(*KEY, "within")).alias("queries")), "blocks")
 
     def met(held: DataFrame) -> DataFrame:
-        pairs = copies.join(held, "block").withColumn("q", F.explode("queries")).select("code", "first", "second", "n", "q.*")
+        pairs = entries.crossJoin(held).withColumn("q", F.explode("queries")).select("code", "first", "second", "n", "q.*")
         near = pairs.where(F.bit_count(F.col("query").bitwiseXOR(F.col("code"))) <= F.col("within"))
         return _usable(near)
 
@@ -109,11 +110,13 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     Rows of the queries that share an id give one list, as pairs in SQL would.
 
     Each code stands once per segment of its bits in an index without ids. Round r looks up all segment values at distance r
-    from the query's, in every segment. A code is taken only in the first (radius, segment) that meets it, so none comes twice.
+    from the query's, in every segment. A code is taken only in the first (radius, segment) that meets it, so none comes twice,
+    and only if it is no farther than the last of the k + 1 codes the query already has.
     After round r every code within m r + m - 1 (m segments) has been met; a query is finished when the distance of its last
     wanted row is within that. Only the unfinished go on, as long as a round looks up fewer values than there are codes;
     what is left then is compared with all codes. Each round keeps the best k + 1 codes of a query, limited before the
-    shuffle; ids are joined to them at the end. Whether the index is broadcast is left to Spark's size check.
+    shuffle; ids are joined to them at the end. Values and index meet by a sort-merge join: Spark's size check takes the queries'
+    size for that of the values made of them, and would send all of these through the driver.
     """
     wanted = k + 1
     small = W.partitionBy("code").orderBy("id")
@@ -134,24 +137,27 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     asked = queries.where("id is not null and code is not null").select("id", F.col("code").alias("query"))
     asked = asked.join(several, "id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     asked = written(asked.withColumn("own", F.when(F.col("several"), F.col("id")).otherwise(F.lit(0).cast("long"))), "asked")
-    open_ = written(asked.select(*KEY).distinct(), "queries")
+    open_ = written(asked.select(*KEY).distinct().withColumn("within", F.lit(BITS)), "queries")
     best, results, radius = None, [], 0
     while radius <= width and m * math.comb(width, radius) < n_codes and not open_.isEmpty():
-        met = _probes(open_, m, width, radius).join(index, "slot")
+        met = _probes(open_, m, width, radius).join(index.hint("merge"), "slot")
         differ = F.col("query").bitwiseXOR(F.col("code"))
         near = [F.bit_count(_segment(differ, F.lit(i), width)) for i in range(m)]
         earlier = [(d < radius) | ((d == radius) & (F.col("segment") > i)) for i, d in enumerate(near)]
         first = ~earlier[0]
         for condition in earlier[1:]:
             first = first & ~condition
-        found = _usable(met.where(first))
+        found = _usable(met.where(first & (F.bit_count(differ) <= F.col("within"))))
         best = written(_best(found if best is None else found.unionByName(best), wanted), "best")
         running = F.sum("n").over(W.partitionBy(*KEY).orderBy("distance", "first").rowsBetween(W.unboundedPreceding, 0))
         last = best.withColumn("running", running).where(F.col("running") >= min(wanted, n_rows)).groupBy(*KEY).agg(F.min("distance").alias("far"))
         finished = written(last.where(F.col("far") <= m * radius + m - 1).select(*KEY), "finished")
         results.append(best.join(finished, KEY, "left_semi"))
         best = best.join(finished, KEY, "left_anti")
-        open_ = written(open_.join(finished, KEY, "left_anti"), "queries")
+        known_far = best.groupBy(*KEY).agg(F.count(F.lit(1)).alias("codes"), F.max("distance").alias("far"))
+        within = F.when(F.col("codes") >= wanted, F.col("far")).otherwise(F.lit(BITS)).alias("within")
+        open_ = open_.select(*KEY).join(finished, KEY, "left_anti").join(known_far, KEY, "left")
+        open_ = written(open_.select(*KEY, F.coalesce(within, F.lit(BITS)).alias("within")), "queries")
         radius += 1
     if not open_.isEmpty():
         results.append(_scanned(open_, entries, wanted))
