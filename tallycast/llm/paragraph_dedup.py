@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tallycast.llm.bitmap import bitmap, marked
 from tallycast.llm.graph import components, written
 from tallycast.llm.minhash_dedup import SMALL_BUCKET, _links_by_blocks, _unsettled
-from tallycast.llm.text import SHINGLE, _BASE, _INVERSE, _STEPS, as_bytes, chunks, lists, map_arrow, mix, powers, shingles, signed, words
+from tallycast.llm.text import CHUNK_BYTES, SHINGLE, _BASE, _INVERSE, _STEPS, as_bytes, chunks, lists, map_arrow, mix, powers, shingles, signed, words
 
 #: A paragraph starts at the smallest word-pair hash of any 20 in a row and ends where the next one starts.
 WINDOW = 20
@@ -52,6 +53,18 @@ def paragraphs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return borders[full], ends[full]
 
 
+def least_places(values: np.ndarray, window: int) -> np.ndarray:
+    """The place of the first smallest value in every ``window`` values in a row, by windows of doubled width."""
+    places, width = np.arange(len(values), dtype=np.int32), 1
+    while width < window:
+        step = min(width, window - width)
+        right = values[step:] < values[:-step]
+        values = np.where(right, values[step:], values[:-step])
+        places = np.where(right, places[step:], places[:-step])
+        width += step
+    return places
+
+
 def prints(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of the words of each range."""
     with np.errstate(over="ignore"):
@@ -75,9 +88,11 @@ def paragraphs_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     if len(hashes) > WINDOW:
         with np.errstate(over="ignore"):
             pairs = mix(hashes[:-1] * _STEPS[0] + hashes[1:] * _STEPS[1])
-        inside = np.flatnonzero(owner[: len(hashes) - WINDOW] == owner[WINDOW:])
-        least = sliding_window_view(pairs, WINDOW)[inside].argmin(axis=1) + inside
-        borders = np.unique(np.concatenate([borders, least]))
+        inside = owner[: len(hashes) - WINDOW] == owner[WINDOW:]
+        is_border = np.zeros(len(hashes), dtype=bool)
+        is_border[borders] = True
+        is_border[least_places(pairs, WINDOW)[inside]] = True
+        borders = np.flatnonzero(is_border)
     ends = np.append(borders[1:], len(hashes))
     if len(borders):
         ends = np.minimum(ends, offsets[1:][owner[borders]])
@@ -86,69 +101,69 @@ def paragraphs_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return borders, ends, np.searchsorted(borders, offsets)
 
 
-def _values(rows):
-    """Of every text with a paragraph: its key, starts and ends, their fingerprints, and one row of values per band."""
+def _valued(rows):
+    """Of the paragraphs of many texts at a time: the texts' keys, word offsets and first paragraphs, then starts and ends among all words,
+    fingerprints, and one row of values per band."""
     for keys, hashes, offsets in _chunked(rows):
         start, end, first = paragraphs_of(hashes, offsets)
         if not len(start):
             continue
         flat = np.append(shingles(hashes), np.uint64(0))
         cuts = np.stack([start, end - 4], axis=1).ravel()
-        least = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + i]), cuts)[::2] for i in range(BANDS * ROWS)]
+        values = []
         with np.errstate(over="ignore"):
-            values = np.stack([mix(sum(least[band * ROWS + i] * _STEPS[i] for i in range(ROWS)) + np.uint64(band)) for band in range(BANDS)])
-        own = prints(hashes, start, end)
+            for band in range(BANDS):
+                least = [np.minimum.reduceat(mix(flat ^ _STEPS[8 + band * ROWS + i]), cuts)[::2] * _STEPS[i] for i in range(ROWS)]
+                values.append(mix(sum(least) + np.uint64(band)))
+        yield keys, offsets, first, start, end, prints(hashes, start, end), np.stack(values)
+
+
+def _values(rows):
+    """Of every text with a paragraph: its key, starts and ends, their fingerprints, and one row of values per band."""
+    for keys, offsets, first, start, end, own, values in _valued(rows):
         for i, key in enumerate(keys):
             a, b = first[i], first[i + 1]
             if a < b:
                 yield key, start[a:b] - offsets[i], end[a:b] - offsets[i], own[a:b], values[:, a:b]
 
 
+def _placed(rows):
+    """Of the paragraphs of many texts at a time: key, start and end in the text, fingerprint, and one row of values per band."""
+    for keys, offsets, first, start, end, own, values in _valued(rows):
+        counts = np.diff(first)
+        begin = np.repeat(offsets[:-1], counts)
+        yield np.repeat(np.array(keys, dtype=np.int64), counts), start - begin, end - begin, own, values
+
+
 def _met(rows):
     """``[value, who]``: every band value with the paragraph's fingerprint, and every fingerprint with a hash of its place."""
-    parts, size = [], 0
-    for key, start, _, own, values in _values(rows):
+    for key, start, _, own, values in _placed(rows):
         with np.errstate(over="ignore"):
-            place = mix(np.uint64(key & 0xFFFFFFFFFFFFFFFF) * _STEPS[2] + start.astype(np.uint64) * _STEPS[3])
-        parts.append((np.append(values.ravel(), own), np.append(np.tile(own, BANDS), place)))
-        size += len(start)
-        if size > 20_000:
-            yield [signed(np.concatenate(c)) for c in zip(*parts)]
-            parts, size = [], 0
-    if parts:
-        yield [signed(np.concatenate(c)) for c in zip(*parts)]
+            place = mix(key.view(np.uint64) * _STEPS[2] + start.astype(np.uint64) * _STEPS[3])
+        yield [signed(np.append(values.ravel(), own)), signed(np.append(np.tile(own, BANDS), place))]
 
 
 def _banded(rows):
     """One row per paragraph and band, and one more, numbered as the band after the last, with the fingerprint as its value."""
-    parts, size = [], 0
-    for key, start, end, own, values in _values(rows):
+    for key, start, end, own, values in _placed(rows):
         n = BANDS + 1
-        parts.append((np.repeat(np.arange(n, dtype=np.int32), len(start)), signed(np.append(values.ravel(), own)), signed(np.tile(own, n)),
-                      np.full(n * len(start), key, dtype=np.int64), np.tile(start.astype(np.int32), n), np.tile(end.astype(np.int32), n)))
-        size += len(start)
-        if size > 20_000:
-            yield [np.concatenate(c) for c in zip(*parts)]
-            parts, size = [], 0
-    if parts:
-        yield [np.concatenate(c) for c in zip(*parts)]
+        yield [np.repeat(np.arange(n, dtype=np.int32), len(start)), signed(np.append(values.ravel(), own)), signed(np.tile(own, n)),
+               np.tile(key, n), np.tile(start.astype(np.int32), n), np.tile(end.astype(np.int32), n)]
 
 
 def _sets(rows):
-    own, sets, size = [], [], 0
+    """``[id, items]``: the fingerprint and the different shingles of every paragraph."""
     for _, hashes, offsets in _chunked(rows):
         start, end, _ = paragraphs_of(hashes, offsets)
         if not len(start):
             continue
-        flat = shingles(hashes)
-        own.append(prints(hashes, start, end))
-        sets.extend(np.unique(flat[s : e - 4]) for s, e in zip(start, end))
-        size += len(start)
-        if size > 20_000:
-            yield [signed(np.concatenate(own)), lists(signed(np.concatenate(sets)), map(len, sets))]
-            own, sets, size = [], [], 0
-    if sets:
-        yield [signed(np.concatenate(own)), lists(signed(np.concatenate(sets)), map(len, sets))]
+        flat, sizes = shingles(hashes), end - 4 - start
+        at = np.arange(sizes.sum()) + np.repeat(start - np.cumsum(sizes) + sizes, sizes)
+        items, owner = flat[at], np.repeat(np.arange(len(start)), sizes)
+        again = np.zeros(len(items), dtype=bool)
+        for step in range(1, sizes.max()):
+            again[step:] |= (items[step:] == items[:-step]) & (owner[step:] == owner[:-step])
+        yield [signed(prints(hashes, start, end)), lists(signed(items[~again]), np.bincount(owner[~again], minlength=len(start)))]
 
 
 def _runs(covered: np.ndarray) -> np.ndarray:
@@ -156,67 +171,67 @@ def _runs(covered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(covered.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
 
 
-def around(hashes: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words before a paragraph, nearest first, and those after it, as far as a border of it may be cut otherwise elsewhere.
+def around(hashes: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+    """For each paragraph and side, the words before it, nearest first, or after it, as far as a border of it may be cut otherwise elsewhere.
 
-    They reach past the next whole paragraph that is cut alike wherever all of these words stand, so a repeated passage
+    ``start`` and ``stop`` are places among the words of all texts, ``text`` the text's number. The words reach past the next
+    whole paragraph that is cut alike wherever all of these words stand, so a repeated passage
     that goes on beyond them has a repeated paragraph there. A border depends on the words within a window on either side.
     """
-    starts, ends = paragraphs(hashes)
+    starts, ends, first = paragraphs_of(hashes, offsets)
     margin = WINDOW + 1
     after, before = np.searchsorted(starts, stop + margin), np.searchsorted(ends, start - margin, side="right") - 1
-    last = min(ends[after] + margin, len(hashes)) if after < len(ends) else len(hashes)
-    first = max(starts[before] - margin, 0) if before >= 0 else 0
-    return hashes[first:start][::-1], hashes[stop:last]
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """The number of equal words at the beginning of both."""
-    n = min(len(a), len(b))
-    unlike = np.flatnonzero(a[:n] != b[:n])
-    return int(unlike[0]) if len(unlike) else n
-
-
-def _extended(hashes: np.ndarray, found: dict) -> tuple[int, int]:
-    """A range with the words on its open side that the kept copy has there too."""
-    start, stop = found["start"], found["stop"]
-    if found["words"] is not None:
-        other = np.array(found["words"], dtype=np.int64).view(np.uint64)
-        if found["side"] == LEFT:
-            start -= _same(hashes[:start][::-1], other)
-        else:
-            stop += _same(hashes[stop:], other)
-    return start, stop
-
-
-def cut(text: bytes | None, ranges: list[dict]) -> tuple[int, int, int, bytes | None]:
-    """Words, removed words, removed runs and the text without the word ranges.
-
-    A range counts only where its words have the fingerprint it was found with. It goes on word by word as long as the
-    words are those around the kept copy. Fewer than five words between two ranges go with them; then runs under 16 words stay.
+    low, high = offsets[text], offsets[text + 1]
+    last = np.where(after < first[text + 1], np.minimum(np.append(ends, 0)[after] + margin, high), high)
+    begin = np.where(before >= first[text], np.maximum(np.append(starts, 0)[before] - margin, low), low)
+    return [hashes[b:s][::-1] if one == LEFT else hashes[e:z] for b, s, e, z, one in zip(begin, start, stop, last, side)]
+
+
+def _reach(hashes: np.ndarray, at: np.ndarray, step: int, room: np.ndarray, other: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each place, how many words from it on, ``step`` by step and at most ``room``, equal ``other[first : first + size]`` one by one."""
+    n = np.minimum(size, room)
+    ends = np.cumsum(n)
+    turn = np.arange(n.sum()) - np.repeat(ends - n, n)
+    unlike = np.flatnonzero(hashes[np.repeat(at, n) + step * turn] != other[np.repeat(first, n) + turn])
+    next_ = np.searchsorted(unlike, ends - n)
+    stop = np.append(unlike, n.sum())[next_]
+    return np.minimum(stop, ends) - (ends - n)
+
+
+def _cut_texts(texts: list[bytes], text: np.ndarray, ranges: dict[str, np.ndarray]):
+    """Of each text: words, removed words, removed runs and the text without its word ranges.
+
+    ``text`` has the number of the text of each of the ``ranges``, given by column: start, stop, fp, side, and its words around as the
+    places ``first`` and ``size`` in ``around``. A range counts only where its words have the fingerprint it was found with. It goes on
+    word by word as long as the words are those around the kept copy. Fewer than five words between two ranges go with them;
+    then runs under 16 words stay.
     """
-    start, end, hashes, _ = words([text or b""])
-    edges, steps = np.zeros(0, dtype=np.int64), np.zeros(len(hashes) + 1, dtype=np.int64)
-    fit = [r for r in ranges if r["stop"] <= len(hashes)]
-    if fit:
-        first, stop = np.array([r["start"] for r in fit]), np.array([r["stop"] for r in fit])
-        right = signed(prints(hashes, first, stop)) == np.array([r["fp"] for r in fit])
-        for found, good in zip(fit, right):
-            if good:
-                begin, behind = _extended(hashes, found)
-                steps[begin] += 1
-                steps[behind] -= 1
-        edges = _runs(np.cumsum(steps)[:-1] > 0)
-        between = edges[2::2] - edges[1:-1:2]
-        joined = np.repeat(between < SHINGLE, 2)
-        edges = edges[~np.concatenate([[False], joined, [False]])] if len(edges) else edges
-        edges = edges[np.repeat(edges[1::2] - edges[0::2] >= MIN_RUN, 2)]
-    kept, at = [], 0
-    for first, stop in zip(edges[0::2], edges[1::2]):
-        kept.append(text[at : start[first]])
-        at = end[stop - 1]
-    removed = int((edges[1::2] - edges[0::2]).sum())
-    return len(hashes), removed, len(edges) // 2, None if text is None else b"".join([*kept, text[at:]])
+    start, end, hashes, offsets = words(texts)
+    base = np.cumsum([0] + [len(t) + 1 for t in texts])
+    fit = np.flatnonzero(ranges["stop"] <= np.diff(offsets)[text])
+    begin, stop = offsets[text[fit]] + ranges["start"][fit], offsets[text[fit]] + ranges["stop"][fit]
+    good = signed(prints(hashes, begin, stop)) == ranges["fp"][fit]
+    fit, begin, stop = fit[good], begin[good], stop[good]
+    low, high = offsets[text[fit]], offsets[text[fit] + 1]
+    other, first, size = ranges["around"].view(np.uint64), ranges["first"][fit], ranges["size"][fit]
+    left = ranges["side"][fit] == LEFT
+    before = _reach(hashes, begin - 1, -1, begin - low, other, first, np.where(left, size, 0))
+    behind = _reach(hashes, stop, 1, high - stop, other, first, np.where(left, 0, size))
+    steps = np.bincount(begin - before, minlength=len(hashes) + 1) - np.bincount(stop + behind, minlength=len(hashes) + 1)
+    covered = np.cumsum(steps)[:-1] > 0
+    for i, own in enumerate(texts):
+        a, b = offsets[i], offsets[i + 1]
+        edges = _runs(covered[a:b])
+        if len(edges):
+            between = edges[2::2] - edges[1:-1:2]
+            joined = np.repeat(between < SHINGLE, 2)
+            edges = edges[~np.concatenate([[False], joined, [False]])]
+            edges = edges[np.repeat(edges[1::2] - edges[0::2] >= MIN_RUN, 2)]
+        kept, at = [], 0
+        for first_word, last_word in zip(edges[0::2], edges[1::2]):
+            kept.append(own[at : start[a + first_word] - base[i]])
+            at = end[a + last_word - 1] - base[i]
+        yield b - a, int((edges[1::2] - edges[0::2]).sum()), len(edges) // 2, b"".join([*kept, own[at:]]) if kept else own
 
 
 def repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -302,17 +317,17 @@ def _with_words_around(ranges: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _words_around(rows):
-    for key, text, asked in rows:
-        _, _, hashes, _ = words([text or b""])
-        found = []
-        for one in asked:
-            first, last = one["start"], one["stop"]
-            if last <= len(hashes) and signed(prints(hashes, np.array([first]), np.array([last])))[0] == one["fp"]:
-                found.append((first, last, one["fp"], one["side"], signed(around(hashes, first, last)[one["side"]])))
-        if found:
-            starts, stops, fps, sides, parts = zip(*found)
-            yield [np.full(len(found), key, dtype=np.int64), np.array(starts, dtype=np.int32), np.array(stops, dtype=np.int32),
-                   np.array(fps, dtype=np.int64), np.array(sides, dtype=np.int32), lists(np.concatenate(parts), map(len, parts))]
+    for held in chunks((text or b"", text or b"", key, asked) for key, text, asked in rows):
+        _, _, hashes, offsets = words([text for text, *_ in held])
+        found = [(i, key, one["start"], one["stop"], one["fp"], one["side"]) for i, (_, _, key, asked) in enumerate(held) for one in asked]
+        text, key, start, stop, fp, side = (np.array(c, dtype=np.int64) for c in zip(*found))
+        fit = stop <= np.diff(offsets)[text]
+        text, key, start, stop, fp, side = (c[fit] for c in (text, key, start, stop, fp, side))
+        right = signed(prints(hashes, start + offsets[text], stop + offsets[text])) == fp
+        text, key, start, stop, fp, side = (c[right] for c in (text, key, start, stop, fp, side))
+        if len(key):
+            parts = around(hashes, offsets, text, start + offsets[text], stop + offsets[text], side)
+            yield [key, start.astype(np.int32), stop.astype(np.int32), fp, side.astype(np.int32), lists(signed(np.concatenate(parts)), map(len, parts))]
 
 
 def drop_repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -338,16 +353,40 @@ def drop_repeated_paragraphs(docs: DataFrame, id_column: str = "doc_id", text_co
     return whole.unionByName(_without_ranges(some, docs, text_column))
 
 
+def _slices(batch: pa.RecordBatch):
+    """The rows of a batch in parts of about the usual number of bytes of text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    part = total // CHUNK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _cut_rows(texts: pa.Array, ranges: pa.Array) -> list[pa.Array]:
+    """The columns that :func:`_cut_texts` makes of texts and their lists of ranges."""
+    flat = ranges.flatten()
+    text = np.repeat(np.arange(len(ranges)), pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False))
+    columns = {name: flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "stop", "fp")}
+    columns["side"] = flat.field("side").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    around_ = flat.field("words")
+    columns["size"] = pc.fill_null(pc.list_value_length(around_), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    columns["around"] = np.ascontiguousarray(around_.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    columns["first"] = np.cumsum(columns["size"]) - columns["size"]
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    counts, removed, spans, left = zip(*_cut_texts([x or b"" for x in texts.to_pylist()], text, columns))
+    return [*(pa.array(c, pa.int64()) for c in (counts, removed, spans)), pa.array([None if n else x for n, x in zip(null, left)], pa.binary())]
+
+
 def _without_ranges(some: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("others")
     carried = some.select(others, as_bytes(text_column).alias("text"), F.col("__ranges").alias("ranges"))
 
     def run(batches):
         for batch in batches:
-            rows = [cut(text, ranges or []) for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist())]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array(list(values), kind) for values, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("others"), *columns], names=["others", "n_words", "n_removed", "n_spans", "left"])
+            for part in _slices(batch):
+                rows = _cut_rows(part.column("text"), part.column("ranges"))
+                yield pa.RecordBatch.from_arrays([part.column("others"), *rows], names=["others", "n_words", "n_removed", "n_spans", "left"])
 
     schema = T.StructType([carried.schema["others"], *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed", "n_spans")],
                            T.StructField("left", T.BinaryType())])
